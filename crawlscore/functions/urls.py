@@ -7,13 +7,24 @@ sends just the distinct hosts of that kind through an Arrow UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlscore import fixed_values as fv
 
-ABSENT = F.lit(None).cast("string")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once.
+
+    A column used several times inside one expression is repeated in the plan each time, and
+    nested repeats grow without bound. A lambda variable over a one-element array holds the
+    value instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _alternatives(words: list[str]) -> str:
@@ -48,26 +59,30 @@ def origin(url: Column) -> Column:
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
 
 
+def host_in(authority: Column) -> Column:
+    """Lower-case host of a host:port part, '' when there is none."""
+    host = F.regexp_extract(authority, r"^(?:[^@]*@)*(?:\[([^\]]*)\]|([^:@\[]*))", 2)
+    address = F.regexp_extract(authority, r"^(?:[^@]*@)*\[([^\]]*)\]", 1)
+    return F.lower(F.concat(address, host))
+
+
 def domain(url: Column) -> Column:
     """Lower-case host name, '' when there is none."""
-    host_port = F.regexp_replace(authority_of(url), "^.*@", "")
-    host = F.when(
-        host_port.startswith("["), F.regexp_extract(host_port, r"^\[([^\]]*)\]", 1)
-    ).otherwise(F.regexp_extract(host_port, "^([^:]*)", 1))
-    return F.coalesce(F.lower(host), F.lit(""))
+    return F.coalesce(let(authority_of(url), host_in), F.lit(""))
 
 
 def site_domain(host: Column) -> Column:
     """The registrable name: two labels, or three under country second-level labels."""
-    labels = F.split(F.regexp_replace(F.lower(host), r"^\.+|\.+$", ""), r"\.")
-    size = F.size(labels)
-    three = (
-        (size >= 3)
-        & (F.length(F.try_element_at(labels, F.lit(-1))) == 2)
-        & F.try_element_at(labels, F.lit(-2)).isin(fv.SECOND_LEVEL_LABELS)
+    second = "|".join(fv.SECOND_LEVEL_LABELS)
+    return let(
+        F.regexp_replace(F.lower(host), r"^\.+|\.+$", ""),
+        lambda name: F.coalesce(
+            F.nullif(F.regexp_extract(
+                name, rf"(?:^|\.)([^.]*\.(?:{second})\.[^.]{{2}})$", 1), F.lit("")),
+            F.nullif(F.regexp_extract(name, r"(?:^|\.)([^.]*\.[^.]*)$", 1), F.lit("")),
+            name,
+        ),
     )
-    keep = F.when(three, F.lit(3)).otherwise(F.least(size, F.lit(2)))
-    return F.array_join(F.slice(labels, size - keep + 1, keep), ".")
 
 
 def same_site(host: Column, other: Column) -> Column:
@@ -125,19 +140,20 @@ def to_idna(hosts: pd.Series) -> pd.Series:
     return hosts.map(encode)
 
 
-def typed_host(raw: Column) -> Column:
-    """The host inside what somebody typed, before any IDNA encoding."""
-    text = _with_scheme(raw)
-    host_port = F.regexp_replace(authority_of(text), "^.*@", "")
-    return F.regexp_replace(
-        F.lower(F.regexp_extract(host_port, r"^(\[[^\]]*\]|[^:]*)", 1)), r"\.+$", ""
-    )
+def _with_scheme(raw: Column) -> Column:
+    tidy = F.regexp_replace(raw, r"^[\s\x00-\x20]+|\s+$|[\t\r\n]", "")
+    return let(tidy, lambda text: F.when(text.contains("://"), text).otherwise(
+        F.concat(F.lit("https://"), text)))
 
 
-def _with_scheme(raw: Column) -> Column:
-    text = F.regexp_replace(F.trim(F.regexp_replace(raw, r"^[\s\x00-\x20]+|\s+$", "")),
-                            r"[\t\r\n]", "")
-    return F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text))
+def _host_port(text: Column) -> Column:
+    return F.regexp_replace(authority_of(text), "^.*@", "")
+
+
+def typed_host(raw: Column) -> Column:
+    """The host inside what somebody typed, before any IDNA encoding."""
+    host = F.regexp_extract(_host_port(_with_scheme(raw)), r"^(\[[^\]]*\]|[^:]*)", 1)
+    return F.regexp_replace(F.lower(host), r"\.+$", "")
 
 
 def normalize_url(raw: Column, idna_host: Column | None = None) -> Column:
@@ -145,32 +161,36 @@ def normalize_url(raw: Column, idna_host: Column | None = None) -> Column:
 
     Hosts with non-ASCII letters come out null unless `idna_host` holds their encoding.
     """
-    text = _with_scheme(raw)
-    scheme = scheme_of(text)
-    typed = typed_host(raw)
-    host = typed if idna_host is None else F.coalesce(idna_host, typed)
-    host_port = F.regexp_replace(authority_of(text), "^.*@", "")
-    port = F.regexp_extract(host_port, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
-    port_ok = port.rlike(r"^\d{0,5}$") & (
-        F.coalesce(F.expr("0").cast("int") + F.when(port != "", port.try_cast("int")), F.lit(0))
-        <= 65535
-    )
-    default = ((scheme == "http") & (port.rlike("^0*80$"))) | (
-        (scheme == "https") & (port.rlike("^0*443$"))
-    )
-    shown_port = F.when(
-        (port == "") | default, ""
-    ).otherwise(F.concat(F.lit(":"), port.try_cast("int").cast("string")))
-    label_ok = ~host.rlike(r"(^|\.)(\.|$)") & ~host.rlike(r"[^.]{64,}")
-    host_ok = (host != "") & ~host.rlike(r"[^\x00-\x7f]") & (host.startswith("[") | label_ok)
-    path, query = path_of(text), query_of(text)
-    clean = F.concat(
-        scheme, F.lit("://"), host, shown_port,
-        F.when(path == "", "/").otherwise(path),
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
-    )
-    usable = (F.trim(raw) != "") & scheme.isin("http", "https") & host_ok & port_ok
-    return F.when(usable, clean)
+    def parts(text: Column) -> Column:
+        typed = F.regexp_replace(
+            F.lower(F.regexp_extract(_host_port(text), r"^(\[[^\]]*\]|[^:]*)", 1)), r"\.+$", "")
+        return F.struct(
+            scheme_of(text).alias("scheme"),
+            (typed if idna_host is None else F.coalesce(idna_host, typed)).alias("host"),
+            F.regexp_extract(_host_port(text), r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1).alias("port"),
+            path_of(text).alias("path"), query_of(text).alias("query"),
+        )
+
+    def assemble(p: Column) -> Column:
+        port = p["port"]
+        number = port.try_cast("int")
+        default = ((p["scheme"] == "http") & (number == 80)) | (
+            (p["scheme"] == "https") & (number == 443))
+        shown_port = F.when((port == "") | default, "").otherwise(
+            F.concat(F.lit(":"), number.cast("string")))
+        port_ok = (port == "") | (port.rlike(r"^\d{1,5}$") & (number <= 65535))
+        named = ~p["host"].rlike(r"(^|\.)(\.|$)|[^.]{64,}")
+        host_ok = ~p["host"].rlike(r"[^\x00-\x7f]") & (p["host"].startswith("[") | named)
+        clean = F.concat(
+            p["scheme"], F.lit("://"), p["host"], shown_port,
+            F.when(p["path"] == "", "/").otherwise(p["path"]),
+            F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])),
+        )
+        usable = p["scheme"].isin("http", "https") & (p["host"] != "") & host_ok & port_ok
+        return F.when(usable, clean)
+
+    return F.when(
+        F.trim(raw) != "", let(let(_with_scheme(raw), parts), assemble))
 
 
 def normalize_urls(df: DataFrame, column: str, output: str = "normalized") -> DataFrame:
@@ -197,54 +217,58 @@ def normalize_urls(df: DataFrame, column: str, output: str = "normalized") -> Da
 
 
 def _resolve_dots(path: Column) -> Column:
-    parts = F.split(path, "/")
     kept = F.aggregate(
-        parts,
+        F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda done, part: F.when(part == ".", done)
         .when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
         .otherwise(F.concat(done, F.array(part))),
     )
-    tail = F.when(path.rlike(r"(^|/)\.{1,2}$"), F.concat(kept, F.array(F.lit(""))))
-    joined = F.array_join(F.coalesce(tail, kept), "/")
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    joined = F.array_join(kept, "/")
+    ended = F.when(path.rlike(r"(^|/)\.{1,2}$"), F.concat(joined, F.lit("/"))).otherwise(joined)
+    return let(ended, lambda text: F.when(text.startswith("/"), text).otherwise(
+        F.concat(F.lit("/"), text)))
 
 
 def join_url(base: Column, href: Column) -> Column:
     """A reference resolved against the page it stands on."""
-    has_scheme = href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-    base_path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
-    href_path = path_of(href)
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    relative = F.concat(folder, F.regexp_replace(href_path, "/{2,}", "/"))
-    path = (
-        F.when(href_path == "", base_path)
-        .when(href_path.startswith("/"), href_path)
-        .otherwise(relative)
-    )
-    dotted = path.rlike(r"(^|/)\.{1,2}(/|$)")
-    path = F.when(dotted, _resolve_dots(path)).otherwise(path)
-    href_query, base_query = query_of(href), query_of(base)
-    query = F.when((href_path == "") & ~href.contains("?"), base_query).otherwise(href_query)
-    fragment = F.regexp_extract(href, "(#.*)$", 1)
+    def relative(r: Column) -> Column:
+        path, query = r["path"], r["query"]
+        base_path = r["base_path"]
+        folder = F.regexp_replace(base_path, "[^/]*$", "")
+        whole = (
+            F.when(path == "", base_path)
+            .when(path.startswith("/"), path)
+            .otherwise(F.concat(folder, F.regexp_replace(path, "/{2,}", "/")))
+        )
+        resolved = let(whole, lambda p: F.when(
+            p.rlike(r"(^|/)\.{1,2}(/|$)"), _resolve_dots(p)).otherwise(p))
+        kept = F.when((path == "") & ~href.contains("?"), query_of(base)).otherwise(query)
+        return F.concat(
+            origin(base), resolved,
+            let(kept, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))),
+            F.regexp_extract(href, "(#.*)$", 1))
+
+    pieces = F.struct(
+        path_of(href).alias("path"), query_of(href).alias("query"),
+        let(path_of(base), lambda p: F.when(p == "", "/").otherwise(p)).alias("base_path"))
     return (
-        F.when(has_scheme, href)
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme_of(base), F.lit(":"), href))
-        .otherwise(
-            F.concat(
-                origin(base), path,
-                F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), fragment,
-            )
-        )
+        .otherwise(let(pieces, relative))
     )
 
 
 def absolute(base: Column, href: Column) -> Column:
     """The web address a link leads to; null for anchors and non-web schemes."""
-    text = F.regexp_replace(href, r"^\s+|\s+$", "")
-    skip = (text == "") | text.rlike("^(#|mailto:|tel:|javascript:|data:)")
-    joined = join_url(base, text)
-    return F.when(~skip & scheme_of(joined).isin("http", "https"), normalize_url(joined))
+    def web(joined: Column) -> Column:
+        return F.when(scheme_of(joined).isin("http", "https"), normalize_url(joined))
+
+    def resolve(text: Column) -> Column:
+        skip = (text == "") | text.rlike("^(#|mailto:|tel:|javascript:|data:)")
+        return F.when(~skip, let(join_url(base, text), web))
+
+    return let(F.regexp_replace(href, r"^\s+|\s+$", ""), resolve)
 
 
 # --- judging ---------------------------------------------------------------------------------

@@ -315,7 +315,9 @@ def check_results(inputs: AuditInputs, only: list[str] | None = None) -> DataFra
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("partial", worst, F.lit(1.0))))
     return rows.select(
         "audit_id", "check_id", "category", "title", "weight", "check_ord", "status",
-        F.when(F.col("status") == "ran", score).alias("score"), "note", "findings",
+        F.when(F.col("status") == "ran", score).alias("score"), "note",
+        F.expr("exists(findings, f -> f.severity = 'fail' AND f.impact = 'high')")
+        .alias("high_impact_fail"), "findings",
     )
 
 

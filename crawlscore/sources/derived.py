@@ -10,6 +10,8 @@ differently inside string literals.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -381,8 +383,98 @@ SELECT audit_id, concat('https://', audit_id, '/part.xml'), TRUE,
 FROM sites WHERE s12 < 12
 """
 
+# --- audit history and findings, from the events and customers at hand -------------------------------
+CHECKUPS = """
+SELECT event_id AS id, concat('https://site', CAST(user_id AS STRING), '.example.org/') AS url,
+  concat('site', CAST(user_id AS STRING), '.example.org') AS domain,
+  CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'done' WHEN event_type = 'error' THEN
+    'failed' WHEN value < 20 THEN 'queued' ELSE 'running' END AS status,
+  ts AS created_at,
+  CASE WHEN event_type = 'error' AND value < 20 THEN NULL ELSE ts + INTERVAL '2' SECOND END
+    AS started_at,
+  CASE WHEN event_type = 'signup' THEN NULL WHEN value < 40 THEN ts + INTERVAL '50' SECOND
+    ELSE ts + INTERVAL '2000' SECOND END AS finished_at,
+  CASE WHEN event_type IN ('view', 'click', 'purchase') THEN
+    CAST(least(floor(value), 100) AS INT) END AS health_score,
+  CASE WHEN event_type = 'click' AND value > 200 THEN '' ELSE
+    concat('v', CAST(user_id AS STRING)) END AS ip_hash,
+  CASE WHEN event_type <> 'view' THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END
+    AS lead_id
+FROM events
+"""
+
+REQUESTS = """
+SELECT event_id AS id, concat('https://site', CAST(user_id AS STRING), '.example.org/') AS url,
+  ts + INTERVAL '7' HOUR AS requested_at
+FROM events WHERE event_type = 'signup'
+"""
+
+LEADS = """
+SELECT c_custkey AS id,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN concat('=', c_name) ELSE c_name END AS name,
+  CASE WHEN c_mktsegment = 'FURNITURE' THEN concat('+', c_name, '@example.org') ELSE
+    concat(c_name, '@Example.org') END AS email,
+  c_acctbal > 0 AS consent, TIMESTAMP '2024-01-05 10:00:00' AS created_at
+FROM customer
+"""
+
+# one finding per event; its check, severity, impact and effort come from the event
+FINDING_ROWS = """
+SELECT concat('audit', CAST(user_id AS STRING)) AS audit_id, category,
+  concat(category, '.check_', CAST(number AS STRING)) AS check_id, number AS check_ord,
+  event_id AS finding_ord, concat('code_', event_type) AS code, severity,
+  CASE WHEN d1 < 5 THEN 'high' WHEN d1 < 10 THEN 'medium' ELSE 'low' END AS impact,
+  CASE WHEN d2 < 7 THEN 'low' WHEN d2 < 12 THEN 'medium' ELSE 'high' END AS effort,
+  1 + number AS weight, concat('message ', CAST(event_id AS STRING)) AS message, value, ts
+FROM (
+  SELECT *, CASE WHEN number < 2 THEN 'performance' WHEN number < 4 THEN 'accessibility' WHEN
+    number < 6 THEN 'best_practices' WHEN number < 8 THEN 'seo' ELSE 'agentic' END AS category,
+    instr('0123456789abcdef', substr(mark, 1, 1)) - 1 AS d1,
+    instr('0123456789abcdef', substr(mark, 2, 1)) - 1 AS d2,
+    CASE event_type WHEN 'view' THEN 'pass' WHEN 'click' THEN 'info' WHEN 'purchase' THEN 'warn'
+      WHEN 'signup' THEN 'fail' ELSE 'warn' END AS severity
+  FROM (SELECT *, md5(CAST(event_id AS STRING)) AS mark, CAST(substr(CAST(100 +
+    CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS STRING), 3, 1) AS INT) AS number
+    FROM events) AS marked
+) AS placed
+"""
+
+# one result per audit and check
+RESULT_ROWS = """
+SELECT audit_id, check_id, category, check_ord, min(weight) AS weight,
+  CASE WHEN min(value) > 60 THEN 'skipped' WHEN min(value) > 55 THEN 'error' ELSE 'ran' END AS status,
+  CASE WHEN min(value) > 55 THEN CAST(NULL AS DOUBLE) ELSE min(CASE severity WHEN 'fail' THEN 0.0
+    WHEN 'warn' THEN 0.5 ELSE 1.0 END) END AS score,
+  CASE WHEN min(value) > 60 THEN 'No speed test was made.' ELSE '' END AS note,
+  max(CASE WHEN severity = 'fail' AND impact = 'high' THEN 1 ELSE 0 END) = 1 AS high_impact_fail
+FROM finding_rows GROUP BY audit_id, check_id, category, check_ord
+"""
+
+SUBSCRIPTIONS = """
+SELECT c_custkey AS id, concat('customer', CAST(c_custkey AS STRING), '@example.org') AS email,
+  concat('https://site', CAST(c_custkey AS STRING), '.example.org/') AS url,
+  c_acctbal > 1000 AS active,
+  CASE WHEN c_nationkey < 12 THEN TIMESTAMP '2024-01-10 00:00:00' WHEN c_nationkey < 20 THEN
+    TIMESTAMP '2024-01-20 00:00:00' ELSE TIMESTAMP '2024-03-01 00:00:00' END AS next_check_at
+FROM customer
+"""
+
+REPORT_EMAILS = """
+SELECT event_id AS id, event_id - 1 AS checkup_id, ts AS created_at FROM events
+WHERE event_type IN ('purchase', 'error')
+UNION ALL
+SELECT event_id, event_id, ts FROM events WHERE value > 50
+"""
+
 # name -> SQL; later ones read earlier ones
 DERIVED = {
+    "checkups": CHECKUPS,
+    "requests": REQUESTS,
+    "leads": LEADS,
+    "finding_rows": FINDING_ROWS,
+    "result_rows": RESULT_ROWS,
+    "subscriptions": SUBSCRIPTIONS,
+    "report_emails": REPORT_EMAILS,
     "page_keys": PAGE_KEYS,
     "page_traits": PAGE_TRAITS,
     "site_pages": SITE_PAGES,
@@ -400,6 +492,8 @@ DERIVED = {
     "sitemap_files": SITEMAP_FILES,
 }
 PREREQUISITES = {
+    "checkups": [], "requests": [], "leads": [], "finding_rows": [], "subscriptions": [],
+    "report_emails": [], "result_rows": ["finding_rows"],
     "page_keys": [],
     "page_traits": ["page_keys"],
     "site_pages": ["page_traits"],
@@ -430,7 +524,9 @@ def with_clause(*names: str) -> str:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table over the given `pages` table."""
-    ctes = with_clause(name).replace("FROM pages", f"FROM parquet.`{sf_dir}/pages.parquet`", 1)
+    ctes = with_clause(name)
+    for table in ("pages", "events", "customer"):
+        ctes = re.sub(rf"FROM {table}\b", f"FROM parquet.`{sf_dir}/{table}.parquet`", ctes)
     return spark.sql(f"{ctes} SELECT * FROM {name}")
 
 

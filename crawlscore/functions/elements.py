@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from crawlscore import fixed_values as fv
 
-BLANKS = r"' \t\n\r\f'"
+BLANKS = r"' \t\n\r\u000C'"
 
 
 def strip(text: str) -> str:

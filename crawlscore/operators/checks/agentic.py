@@ -25,7 +25,7 @@ CHECKS = [
         why="llms.txt is a short guide to a site for assistants.",
         fix="Publish /llms.txt with a name, a summary and key links.",
         tables=("site_probe",), requires=("probes",),
-        facts={"llms": "trim(BOTH ' \\t\\n\\r\\f' FROM coalesce(site_probe.llms_txt_text, ''))"},
+        facts={"llms": "trim(BOTH ' \\t\\n\\r\\u000C' FROM coalesce(site_probe.llms_txt_text, ''))"},
         pass_when="llms <> ''",
         rules=(
             Rule("missing", "warn", "llms = ''", message="'There is no llms.txt.'"),

@@ -141,7 +141,13 @@ def status_sql(kind: str, rules: list[tuple], na: str, score: str, broken: str,
 
 def contact(html: str) -> str:
     return (f"(contains({html}, 'href=\"tel:') OR contains({html}, 'href=\"mailto:') OR "
-            f"contains({html}, '01717863320 or') OR contains({html}, '+880 1717-863320'))")
+            f"{written_phone(html)} OR contains({html}, '+880 1717-863320'))")
+
+
+def written_phone(html: str) -> str:
+    """Numbers in running text: the derived ones and those of the given pages."""
+    return (f"(contains({html}, '01717863320 or') OR "
+            f"regexp_matches({html}, '[+]1 [(][0-9]{{3}}[)] [0-9]{{3}}-[0-9]{{4}}'))")
 
 
 DOM_IMGS = "regexp_extract_all(dom, '<img[^>]*>')"
@@ -324,8 +330,8 @@ O["seo.contact_details"] = check_sql(
     [("elsewhere", "NOT h AND e > 0", "info", "low", "low", "least(e, 3)"),
      ("none", "NOT h AND e = 0", "warn", "high", "low", "1")])
 O["seo.click_to_call"] = home_check(
-    [("plain_text", "contains(dom, '01717863320 or')", "warn", "medium", "low", "1")],
-    na="NOT contains(dom, '01717863320 or') AND NOT contains(dom, 'href=\"tel:')")
+    [("plain_text", written_phone("dom"), "warn", "medium", "low", "1")],
+    na=f"NOT {written_phone('dom')} AND NOT contains(dom, 'href=\"tel:')")
 O["seo.whatsapp_chat"] = home_check(
     [("none", "NOT contains(dom, '//wa.me/')", "info", "low", "low", "0")])
 O["seo.directions"] = check_sql(
@@ -470,7 +476,7 @@ _AXE_LIST = "list_sort(list_filter([" + ", ".join(
     f"CASE WHEN {bad} THEN {{'rank': {rank}, 'id': '{i}', 'sev': '{sev}', 'nodes': {nodes}}} END" for i, bad, nodes, sev, rank, _ in AXE) + "], x -> x IS NOT NULL))"
 O["accessibility.axe_scan"] = f"""{page_cte()},
 judged AS (SELECT audit_id, s4 < 13 AS ran, {_AXE_LIST} AS v, greatest(0, (5 - ({' + '.join(f'CASE WHEN {b} THEN {p} ELSE 0 END' for _, b, _, _, _, p in AXE)})) / 5) AS part FROM sites),
-flat AS (SELECT audit_id, ran, part, x.v AS v, x.o AS o FROM judged, LATERAL (SELECT unnest(CASE WHEN ran AND len(v) > 0 THEN v ELSE [NULL] END) AS v,
+flat AS (SELECT audit_id, ran, part, x.w AS v, x.o AS o FROM judged, LATERAL (SELECT unnest(CASE WHEN ran AND len(v) > 0 THEN v ELSE [NULL] END) AS w,
   unnest(CASE WHEN ran AND len(v) > 0 THEN range(1, len(v) + 1) ELSE [0] END) AS o) AS x)
 SELECT audit_id, CASE WHEN ran THEN 'ran' ELSE 'skipped' END AS status, round(CASE WHEN ran THEN part END, 6)::DOUBLE AS score,
   CASE WHEN ran THEN o::INT END AS finding_ord, CASE WHEN ran THEN coalesce(v.id, 'pass') END AS code, CASE WHEN ran THEN coalesce(v.sev, 'pass') END AS severity,
@@ -534,7 +540,7 @@ O["agentic.content_without_js"] = home_check(
     na="s1 < 2", gate=RENDERED, score="q", columns=f"{_RATIO} AS q")
 O["agentic.answer_ready"] = check_sql(
     agg(f"bool_or({QUESTIONS.format(h='dom')} >= 2 OR {FAQ.format(h='dom')}) AS a"), [("none", "NOT a", "warn", "medium", "low", "1")])
-_ABOUT = "contains(dom, 'About us')"
+_ABOUT = "contains(dom, '>About us<')"
 _SOC = "contains(dom, 'facebook.com/shop')"
 O["agentic.business_identity"] = home_check(
     [("missing", f"NOT ({_ABOUT} AND {_SOC})", f"CASE WHEN NOT {_ABOUT} AND NOT {_SOC} THEN 'warn' ELSE 'info' END", "medium", "low", "1")])

@@ -49,7 +49,7 @@ def rendered_home(c):
     chosen = homes.join(seen, "audit_id", "left").withColumn("els", F.coalesce("seen", "crawled"))
     return chosen.selectExpr(
         "audit_id", "CAST(size(filter(els, e -> e.tag = 'a')) AS BIGINT) AS links",
-        "exists(els, e -> e.text = 'late link') AS rendered")
+        "exists(els, e -> coalesce(e.text, '') = 'late link') AS rendered")
 
 
 ROBOTS = dv.with_clause("robots_files")

@@ -14,6 +14,11 @@ EMPTY_VALUES = "'null', '\"\"', '[]', '{}'"
 GRAPH_LEVELS = 3  # nested @graph levels followed below the top level
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL of `body` with `name` bound to a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _is_array(v: str) -> str:
     return f"startswith(schema_of_variant({v}), 'ARRAY')"
 
@@ -87,23 +92,24 @@ def nested_faults(v: str) -> str:
 
 def block_entries(parsed: str) -> str:
     """All objects of one parsed block: the top level, then what its @graph lists hold."""
-    level = _as_list(parsed)
-    levels = [level]
-    for _ in range(GRAPH_LEVELS):
-        level = f"flatten(transform({level}, g -> {_list_only(_get('g', '@graph'))}))"
-        levels.append(level)
-    return f"filter(concat({', '.join(levels)}), v -> {_is_object('v')})"
+    def below(level: str) -> str:
+        return f"flatten(transform({level}, g -> {_list_only(_get('g', '@graph'))}))"
+
+    names = [f"level_{i}" for i in range(GRAPH_LEVELS + 1)]
+    body = f"filter(concat({', '.join(names)}), v -> {_is_object('v')})"
+    for i in range(GRAPH_LEVELS, 0, -1):
+        body = let(below(names[i - 1]), names[i], body)
+    return let(parsed, "whole", let(_as_list("whole"), names[0], body))
 
 
 def json_items(blocks: str) -> str:
     """Item structs (types, present, faults, json) of all blocks of a page, in page order."""
     entries = f"flatten(transform({blocks}, b -> {block_entries('try_parse_json(b)')}))"
-    typed = f"filter({entries}, v -> size({types_of('v')}) > 0)"
-    return (
-        f"transform({typed}, v -> named_struct('types', {types_of('v')}, "
-        f"'present', {present_properties('v')}, 'faults', {nested_faults('v')}, "
-        "'json', to_json(v)))"
+    item = (
+        f"named_struct('types', {types_of('v')}, 'present', {present_properties('v')}, "
+        f"'faults', {nested_faults('v')}, 'json', to_json(v))"
     )
+    return f"filter(transform({entries}, v -> {item}), i -> size(i.types) > 0)"
 
 
 def has_broken_block(blocks: str) -> str:
@@ -146,30 +152,31 @@ def _rule_list(position: int, key: str) -> str:
 
 def missing_properties(item: str) -> str:
     """struct(required, recommended) an item lacks, nested musts included."""
-    families = f"transform({item}.types, t -> {family('t')})"
-    rule = f"get(array_compact({families}), 0)"
     lacking = f"filter({{}}, n -> NOT array_contains({item}.present, n))"
-    required = lacking.format(_rule_list(0, rule))
-    recommended = lacking.format(_rule_list(1, rule))
     no_offer_needed = (
-        f"array_contains({families}, 'Product') AND "
+        "array_contains(families, 'Product') AND "
         f"arrays_overlap({item}.present, array('review', 'aggregateRating'))"
     )
     phone_given = (
-        f"array_contains({families}, 'Organization') AND "
-        f"array_contains({item}.present, 'telephone')"
+        f"array_contains(families, 'Organization') AND array_contains({item}.present, 'telephone')"
     )
     faults = (
-        f"transform(filter({item}.faults, f -> array_contains({families}, f.family)), f -> f.fault)"
+        f"transform(filter({item}.faults, f -> array_contains(families, f.family)), f -> f.fault)"
     )
     none = "CAST(array() AS ARRAY<STRING>)"
-    return (
-        f"CASE WHEN {rule} IS NULL THEN named_struct('required', {none}, 'recommended', {none}) "
-        f"ELSE named_struct('required', concat(CASE WHEN coalesce({no_offer_needed}, false) THEN "
-        f"array_remove({required}, 'offers') ELSE {required} END, {faults}), "
-        f"'recommended', CASE WHEN coalesce({phone_given}, false) THEN "
-        f"array_remove({recommended}, 'contactPoint') ELSE {recommended} END) END"
+    judged = (
+        f"named_struct('required', concat(filter({lacking.format(_rule_list(0, 'rule'))}, "
+        f"n -> n <> 'offers' OR NOT coalesce({no_offer_needed}, false)), {faults}), "
+        f"'recommended', filter({lacking.format(_rule_list(1, 'rule'))}, "
+        f"n -> n <> 'contactPoint' OR NOT coalesce({phone_given}, false)))"
     )
+    ruled = (
+        f"CASE WHEN rule IS NULL THEN named_struct('required', {none}, 'recommended', {none}) "
+        f"ELSE {judged} END"
+    )
+    return let(
+        f"transform({item}.types, t -> {family('t')})", "families",
+        let("get(array_compact(families), 0)", "rule", ruled))
 
 
 def page_kind(segments: str, is_home: str, og_type: str, price: str, questions: str) -> str:
@@ -203,17 +210,13 @@ def page_schema(items: str, kind: str) -> str:
         " ".join(f"WHEN '{k}' THEN array({quoted(v)})" for k, v in fv.ACCEPTED_TYPES.items())
     )
     match = f"get(filter({items}, i -> arrays_overlap(i.types, {accepted})), 0)"
-    return (
-        f"transform({labels}, l -> named_struct('label', l, 'item', {match}, "
-        f"'lacks', {missing_properties(match)}))"
-    )
+    part = f"named_struct('label', l, 'item', own, 'lacks', {missing_properties('own')})"
+    return f"transform({labels}, l -> {let(match, 'own', part)})"
 
 
 def schema_status(broken: str, parts: str) -> str:
-    return (
-        f"CASE WHEN {broken} THEN 'broken' "
-        f"WHEN exists({parts}, p -> p.item IS NULL) THEN 'missing' "
-        f"WHEN exists({parts}, p -> size(p.lacks.required) > 0) THEN 'incomplete' "
-        f"WHEN exists({parts}, p -> size(p.lacks.recommended) > 0) THEN 'could be richer' "
-        "ELSE 'good' END"
-    )
+    return f"CASE WHEN {broken} THEN 'broken' ELSE " + let(parts, "parts_found", (
+        "CASE WHEN exists(parts_found, p -> p.item IS NULL) THEN 'missing' "
+        "WHEN exists(parts_found, p -> size(p.lacks.required) > 0) THEN 'incomplete' "
+        "WHEN exists(parts_found, p -> size(p.lacks.recommended) > 0) THEN 'could be richer' "
+        "ELSE 'good' END")) + " END"

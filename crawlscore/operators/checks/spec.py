@@ -93,13 +93,21 @@ class Check:
             f"'low', 'effort', 'low', 'affected', CAST(0 AS BIGINT), 'message', {self.passed})"
         )
         if self.findings:
-            return f"CASE WHEN size({self.findings}) > 0 THEN {self.findings} ELSE array({passing}) END"
+            return _or_passing(self.findings, passing)
         rules = [rule.struct(i) for i, rule in enumerate(self.rules, start=1)]
         hits = f"array_compact(array({', '.join(rules)}))"
         if self.pass_when:  # some checks praise and advise at once
             also = f"CASE WHEN {self.pass_when} THEN {passing} END"
             return f"array_compact(concat(array({also}), {hits}))"
-        return f"CASE WHEN size({hits}) > 0 THEN {hits} ELSE array({passing}) END"
+        return _or_passing(hits, passing)
+
+
+def _or_passing(hits: str, passing: str) -> str:
+    """SQL of the hits, or the passing entry when there are none; the hits are computed once."""
+    return (
+        f"get(transform(array({hits}), h -> CASE WHEN size(h) > 0 THEN h "
+        f"ELSE array({passing}) END), 0)"
+    )
 
 
 def share(total: str, fails: str, warns: str = "0") -> str:

@@ -21,6 +21,7 @@ from crawlscore.operators.checks.features import FEATURES, WORD, layered
 from crawlscore.operators.checks.spec import Check
 from crawlscore.plans import side_tables as st
 from crawlscore.plans.catalog import catalogue
+from crawlscore.session import materialise
 
 AGGREGATE = re.compile(r"^(count_if|sum)\((.*)\)$", re.S)
 HOME = re.compile(r"\bhome\.(?!dom_)(\w+)")
@@ -36,6 +37,7 @@ SKIP_NOTES = {
     "pagespeed": "No speed test was made.",
     "security": "Security facts were not looked up.",
 }
+STAGED_FROM = 8  # from this many checks on, site facts are written before rules are applied
 NOT_APPLICABLE = "Not applicable to this website."
 FAILED = "This check could not be completed."
 
@@ -298,6 +300,10 @@ def check_results(inputs: AuditInputs, only: list[str] | None = None) -> DataFra
     order = {check_id: i for i, check_id in enumerate(every)}
     sound = [c for c in checks if _facts_usable(inputs, c)]
     site = site_facts(inputs, sound)
+    if len(checks) > STAGED_FROM:
+        # one short row per site: written, so that the long list of rules is planned over a
+        # plain scan and adaptive execution does not optimise it again after every stage
+        site = materialise(site, "site-facts")
     if any(c.requires for c in checks):
         site = site.join(capabilities(inputs), "audit_id", "left")
         site = site.withColumns({

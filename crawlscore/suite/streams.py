@@ -1,0 +1,85 @@
+"""Streaming operators as queries: the given tables are replayed as a file stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crawlscore.session import shared_folder
+from crawlscore.sources import derived as dv
+from crawlscore.streaming import alerts
+from crawlscore.suite.corpus import query
+from crawlscore.suite.oracle_pages import first, page_cte
+
+CHECKUPS = dv.with_clause("checkups")
+
+
+def _stream(df: DataFrame) -> DataFrame:
+    """A table as a stream of its files."""
+    folder = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+
+
+def _drain(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what is there, and return what it emitted."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(folder)
+
+    running = (
+        stream.writeStream.outputMode(mode).foreachBatch(keep)
+        .option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    schema = stream.schema.add("batch", "int")
+    return spark.read.schema(schema).parquet(folder)
+
+
+@query("K1", page_cte() + f" SELECT page_id, {first('html', '<title>([^<]*)</title>')} AS title, len(regexp_extract_all(html, '<h1>'))::INT AS h1_count FROM op")
+def features(c):
+    stream = alerts.page_features(_stream(c.pages), ["title", "h1_count"])
+    return _drain(stream, "append").select(F.col("page_key.id").alias("page_id"), "title", "h1_count")
+
+
+@query("K2", CHECKUPS + """ SELECT (epoch_us(created_at) // 300000000 - k) * 300000000 AS window_us, ip_hash, count(*) AS starts FROM checkups, range(12) AS r(k) GROUP BY 1, 2""")
+def rates(c):
+    rows = c.derived("checkups").select(F.col("created_at").cast("timestamp"), "ip_hash")
+    emitted = _drain(alerts.start_rates(_stream(rows)), "update")
+    newest = emitted.groupBy("window_start", "ip_hash").agg(F.max("starts").alias("starts"))
+    return newest.select(F.unix_micros("window_start").alias("window_us"), "ip_hash", "starts")
+
+
+@query("K3", dv.with_clause("requests") + " SELECT DISTINCT url FROM requests")
+def accepted(c):
+    rows = c.derived("requests").select("id", "url", F.col("requested_at").cast("timestamp"))
+    return _drain(alerts.accepted_requests(_stream(rows)), "append").select("url").distinct()
+
+
+@query("K4", CHECKUPS + " SELECT id FROM checkups WHERE finished_at IS NULL AND created_at < (SELECT max(created_at) FROM checkups) - INTERVAL '400' SECOND")
+def stuck(c):
+    rows = c.derived("checkups")
+    begun = rows.where("finished_at IS NULL").selectExpr(
+        "id", "'running' AS status", "CAST(created_at AS TIMESTAMP) AS at")
+    ended = rows.where("finished_at IS NOT NULL").selectExpr(
+        "id", "'done' AS status", "CAST(created_at AS TIMESTAMP) AS at")
+    return _drain(alerts.stuck_audits(_stream(begun.unionByName(ended))), "append").select("id")
+
+
+@query("K5", CHECKUPS + """ SELECT id, delta FROM (SELECT id, health_score - lag(health_score) OVER (PARTITION BY url ORDER BY created_at, id) AS delta FROM checkups WHERE status = 'done') AS x WHERE delta <= -5""")
+def drops(c):
+    rows = c.derived("checkups").where("status = 'done'").select(
+        "id", "url", "health_score", F.col("created_at").cast("timestamp"))
+    return _drain(alerts.score_drops(_stream(rows)), "append").select("id", "delta")
+
+
+@query("K6", page_cte() + """ SELECT audit_id, count(*) AS pages, count(*) FILTER (WHERE starts_with(final_url, 'https://')) AS is_https FROM op GROUP BY 1""")
+def rollup(c):
+    rows = c.pages.withColumn("crawled_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    emitted = _drain(alerts.site_rollup(_stream(rows), ["is_https"]), "complete")
+    last = emitted.agg(F.max("batch")).head()[0]
+    return emitted.where(F.col("batch") == last).select("audit_id", "pages", "is_https")

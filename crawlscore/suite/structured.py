@@ -104,7 +104,7 @@ def page_facts(c):
         "page_key.id AS page_id", "description", "price", "currency", "size(questions) AS questions")
 
 
-@query("F10", page_cte() + f""", p AS (SELECT page_id, {origin('final_url')} AS o, list_filter(string_split(regexp_extract(final_url, '^https?://[^/?#]+([^?#]*)', 1), '/'), x -> x <> '') AS s FROM op)
+@query("F10", page_cte() + f""", p AS (SELECT page_id, (SELECT {origin('h.final_url')} FROM homepages h WHERE h.audit_id = op.audit_id) AS o, list_filter(string_split(regexp_extract(final_url, '^https?://[^/?#]+([^?#]*)', 1), '/'), x -> x <> '') AS s FROM op)
   SELECT page_id, 1 + len(s) AS crumbs, concat(o, '/', array_to_string(s, '/')) AS last_item FROM p""")
 def breadcrumbs(c):
     return sd.page_facts(c.docs).selectExpr(

@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crawlscore import fixed_values as fv
 
@@ -127,7 +128,7 @@ def file_stem(src: Column) -> Column:
 # --- normalising -----------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_idna(hosts: pd.Series) -> pd.Series:
     """Punycode of international host names; null where the name is not allowed."""
 

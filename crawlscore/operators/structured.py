@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crawlscore import fixed_values as fv
 from crawlscore.functions import jsonld as jl
@@ -201,7 +202,7 @@ def suggested_items(docs: DataFrame) -> DataFrame:
     return expected_items(docs).withColumn("item", F.expr(built_item()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def merge_json(own: pd.Series, built: pd.Series) -> pd.Series:
     """The own item with every empty property taken from the built one, objects included.
 

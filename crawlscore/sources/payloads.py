@@ -54,7 +54,13 @@ def robots_rules(files: DataFrame) -> DataFrame:
              F.col("r.allow").alias("allow"), F.col("r.path").alias("path"))
 
 
-@F.pandas_udf("struct<is_index:boolean,locations:array<string>>")
+_SITEMAP = T.StructType([
+    T.StructField("is_index", T.BooleanType()),
+    T.StructField("locations", T.ArrayType(T.StringType())),
+])
+
+
+@F.pandas_udf(_SITEMAP)
 def parse_sitemap(texts: pd.Series) -> pd.DataFrame:
     """Root kind and addresses of a sitemap; null for anything else.
 

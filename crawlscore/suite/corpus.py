@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crawlscore import fixed_values as fv
 from crawlscore.operators import linkgraph as lg
 from crawlscore.plans.audit import AuditInputs, check_results
-from crawlscore.session import materialise
+from crawlscore.session import materialise, ship_package
 from crawlscore.sources import derived as dv
 from crawlscore.sources import pages as pg
 from crawlscore.sources import payloads as pl
@@ -138,6 +138,7 @@ def with_status(links: DataFrame) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _corpora:
+        ship_package(spark)
         _corpora[key] = Corpus(spark, sf_dir)
     return _corpora[key]
 

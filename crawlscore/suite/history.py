@@ -122,8 +122,8 @@ def limited(c):
     return hs.over_rate_limit(c.derived("checkups"), limit=2).select("id", "in_last_hour")
 
 
-@query("J4", CHECKUPS + f""", steps AS (SELECT at, sum(d) AS d FROM (SELECT {_us('created_at')} AS at, 1 AS d FROM checkups UNION ALL SELECT {_us('finished_at')}, -1 FROM checkups WHERE finished_at IS NOT NULL) AS x GROUP BY at)
-  SELECT at AS at_us, (sum(d) OVER (ORDER BY at))::BIGINT AS active FROM steps""")
+@query("J4", CHECKUPS + f""", steps AS (SELECT at_us, sum(d) AS d FROM (SELECT {_us('created_at')} AS at_us, 1 AS d FROM checkups UNION ALL SELECT {_us('finished_at')}, -1 FROM checkups WHERE finished_at IS NOT NULL) AS x GROUP BY at_us)
+  SELECT at_us, (sum(d) OVER (ORDER BY at_us))::BIGINT AS active FROM steps""")
 def over_time(c):
     return hs.active_over_time(c.derived("checkups")).select(
         F.unix_micros("at").alias("at_us"), "active")

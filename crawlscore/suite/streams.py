@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crawlscore.session import shared_folder
 from crawlscore.sources import derived as dv
@@ -28,6 +29,8 @@ def _drain(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
 
+    emitted = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(folder)
 
@@ -36,8 +39,7 @@ def _drain(stream: DataFrame, mode: str) -> DataFrame:
         .option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    schema = stream.schema.add("batch", "int")
-    return spark.read.schema(schema).parquet(folder)
+    return spark.read.schema(emitted).parquet(folder)
 
 
 @query("K1", page_cte() + f" SELECT page_id, {first('html', '<title>([^<]*)</title>')} AS title, len(regexp_extract_all(html, '<h1>'))::INT AS h1_count FROM op")

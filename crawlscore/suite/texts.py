@@ -12,7 +12,6 @@ from crawlscore.operators.checks.features import FEATURES, layered
 from crawlscore.suite.corpus import query
 from crawlscore.suite.oracle_pages import decoded, first, origin, page_cte
 
-URL = F.col("url")
 HOST = "lower(regexp_extract(url, '^https?://([^/?#]+)', 1))"
 PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 SITE = "regexp_extract({h}, '([^.]+[.][^.]+)$', 1)"
@@ -34,17 +33,17 @@ def normalize(c):
 
 @query("B2", _pages(f"{origin('url')} AS origin"))
 def origins(c):
-    return c.table("pages").select("page_id", urls.origin(URL).alias("origin"))
+    return c.table("pages").select("page_id", urls.origin(F.col("url")).alias("origin"))
 
 
 @query("B3", _pages(f"{HOST} AS domain"))
 def domains(c):
-    return c.table("pages").select("page_id", urls.domain(URL).alias("domain"))
+    return c.table("pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
 
 
 @query("B4", _pages(SITE.format(h=HOST) + " AS site"))
 def site_domains(c):
-    return c.table("pages").select("page_id", urls.site_domain(urls.domain(URL)).alias("site"))
+    return c.table("pages").select("page_id", urls.site_domain(urls.domain(F.col("url"))).alias("site"))
 
 
 @query("B5", f"""WITH x AS (SELECT page_id, {SITE.format(h=HOST)} AS s, lead({SITE.format(h=HOST)})
@@ -53,12 +52,12 @@ def same_sites(c):
     p = c.table("pages").select("page_id", "url")
     return p.alias("a").join(
         p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other")), "page_id"
-    ).select("page_id", urls.same_site(urls.domain(URL), urls.domain(F.col("other"))).alias("same"))
+    ).select("page_id", urls.same_site(urls.domain(F.col("url")), urls.domain(F.col("other"))).alias("same"))
 
 
 @query("B6", _pages(f"concat({origin('url')}, '/') AS root"))
 def roots(c):
-    return c.table("pages").select("page_id", urls.site_root(URL).alias("root"))
+    return c.table("pages").select("page_id", urls.site_root(F.col("url")).alias("root"))
 
 
 @query("B7", f"""WITH x AS (SELECT page_id, {origin('url')} AS s, lead({origin('url')}) OVER (ORDER BY page_id) AS t FROM pages)
@@ -67,7 +66,7 @@ def same_origins(c):
     p = c.table("pages").select("page_id", "url")
     return p.join(
         p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other")), "page_id"
-    ).select("page_id", urls.same_origin(URL, F.col("other")).alias("same"))
+    ).select("page_id", urls.same_origin(F.col("url"), F.col("other")).alias("same"))
 
 
 @query("B8", page_cte(hrefs=True) + " SELECT page_id, count(*) AS links, count(DISTINCT u) AS different, min(u) AS lowest, "
@@ -91,13 +90,13 @@ def absolutes(c):
   CASE WHEN regexp_matches({PATH}, '[.]html$') THEN 'technical ending (html)' END], x -> x IS NOT NULL), ', ') AS notes"""))
 def url_problems(c):
     return c.table("pages").select(
-        "page_id", F.array_join(urls.url_problems(URL, F.lit(True)), ", ").alias("problems"),
-        F.array_join(urls.url_notes(URL), ", ").alias("notes"))
+        "page_id", F.array_join(urls.url_problems(F.col("url"), F.lit(True)), ", ").alias("problems"),
+        F.array_join(urls.url_notes(F.col("url")), ", ").alias("notes"))
 
 
 @query("B10", _pages(f"concat('https://', regexp_extract(url, '://([^/?#]+)', 1), lower({PATH}), regexp_extract(url, '([?][^#]+)', 1)) AS clean"))
 def clean_urls(c):
-    return c.table("pages").select("page_id", urls.clean_url(URL).alias("clean"))
+    return c.table("pages").select("page_id", urls.clean_url(F.col("url")).alias("clean"))
 
 
 @query("B11", page_cte(hrefs=True) + " SELECT page_id, count(*) FILTER (WHERE NOT regexp_matches(lower(link), '[.](pdf|js|png)([?]|$)')) AS pages "
@@ -112,7 +111,7 @@ def page_addresses(c):
 @query("B12", _pages(f"array_to_string(list_filter(string_split(lower({PATH}), '/'), x -> x <> ''), ' > ') AS segments"))
 def segments(c):
     return c.table("pages").select(
-        "page_id", F.array_join(urls.path_segments(URL), " > ").alias("segments"))
+        "page_id", F.array_join(urls.path_segments(F.col("url")), " > ").alias("segments"))
 
 
 _IMG = page_cte() + """, img AS (SELECT page_id, unnest(regexp_extract_all(html, '<img[^>]*>')) AS tag FROM op)"""
@@ -287,8 +286,8 @@ def contrasts(c):
 
 @query("B31", _pages(f"regexp_replace({HOST}, '^www[.]', '') AS host, concat({PATH}, regexp_extract(url, '([?][^#]+)', 1)) AS path"))
 def hosts_and_paths(c):
-    return c.table("pages").select("page_id", urls.url_host(URL).alias("host"),
-                                   urls.url_path(URL).alias("path"))
+    return c.table("pages").select("page_id", urls.url_host(F.col("url")).alias("host"),
+                                   urls.url_path(F.col("url")).alias("path"))
 
 
 @query("B32", page_cte() + """ SELECT page_id, array_to_string(list_slice(h, 1, 3), ' ') AS shown, greatest(len(h) - 3, 0)::INT AS more

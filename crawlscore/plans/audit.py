@@ -37,7 +37,7 @@ SKIP_NOTES = {
     "pagespeed": "No speed test was made.",
     "security": "Security facts were not looked up.",
 }
-STAGED_FROM = 8  # from this many checks on, site facts are written before rules are applied
+STAGED_FROM = 8  # with more checks than this, the rows per site are written between the stages
 NOT_APPLICABLE = "Not applicable to this website."
 FAILED = "This check could not be completed."
 
@@ -110,6 +110,9 @@ def site_facts(inputs: AuditInputs, checks: list[Check]) -> DataFrame:
         F.expr(f"min_by(struct({', '.join(['final_url AS url', *home])}), page_key)").alias("home"),
         *[F.expr(f"{m.group(1)}({bodies[n]})").alias(n) for n, m in counted.items()],
     ).withColumn("home_url", F.col("home.url"))
+    if len(checks) > STAGED_FROM:
+        # one row per site, read again by the side tables that need the homepage
+        site = materialise(site, "page-facts")
 
     dom_fields = sorted(seen_names) + sorted(shares)
     if dom_fields and inputs.render_docs is not None:

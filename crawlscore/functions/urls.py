@@ -168,7 +168,7 @@ def normalize_url(raw: Column, idna_host: Column | None = None) -> Column:
         return F.struct(
             scheme_of(text).alias("scheme"),
             (typed if idna_host is None else F.coalesce(idna_host, typed)).alias("host"),
-            F.regexp_extract(_host_port(text), r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1).alias("port"),
+            F.regexp_extract(_host_port(text), r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1).alias("port"),
             path_of(text).alias("path"), query_of(text).alias("query"),
         )
 

@@ -245,7 +245,8 @@ def suggestions(docs: DataFrame) -> DataFrame:
     The lists hold one or two items per page, the number of types its kind should carry.
     """
     rows = _with_completed(docs).where("status <> 'good'")
-    bare = F.regexp_replace("completed", r'"@context":"[^"]*",?', "")
+    bare = F.expr("to_json(map_filter(CAST(parse_json(completed) AS MAP<STRING, VARIANT>), "
+                  "(k, v) -> k <> '@context'))")  # the block around it has the context
     graph = rows.withColumn("bare", bare).groupBy("audit_id", "page_key", "kind", "status").agg(
         F.expr("transform(array_sort(collect_list(struct(part_ord, bare))), x -> x.bare)")
         .alias("items"))

@@ -28,10 +28,10 @@ def alt_problem(alt: Column) -> Column:
     text = strip(alt)
     generic = F.regexp_replace(F.lower(text), r"^[ .]+|[ .]+$", "").isin(fv.GENERIC_ALT)
     return (
-        F.when(alt.isNull(), "no alt text")
+        F.when(alt.isNull(), fv.ALT_NONE)
         .when(text == "", "")
         .when(generic, F.concat(F.lit('alt text "'), text, F.lit('" says nothing')))
-        .when(text.rlike(fv.IMAGE_FILE) | text.rlike(fv.CAMERA_NAME), "alt text is a file name")
+        .when(text.rlike(fv.IMAGE_FILE) | text.rlike(fv.CAMERA_NAME), fv.ALT_FILE_NAME)
         .otherwise("")
     )
 

@@ -295,16 +295,16 @@ def url_problems(url: Column, https_site: Column) -> Column:
     keys = query_keys(url)
     return F.array_compact(
         F.array(
-            F.when(path.rlike(r"\p{Lu}"), "capital letters"),
-            F.when(path.contains("_"), "underscores instead of hyphens"),
-            F.when(path.contains("%20") | path.contains(" ") | path.contains("+"), "spaces"),
-            F.when(path.contains("//"), "double slash"),
+            F.when(path.rlike(r"\p{Lu}"), fv.URL_PROBLEMS["upper"]),
+            F.when(path.contains("_"), fv.URL_PROBLEMS["underscore"]),
+            F.when(path.contains("%20") | path.contains(" ") | path.contains("+"), fv.URL_PROBLEMS["space"]),
+            F.when(path.contains("//"), fv.URL_PROBLEMS["slash"]),
             F.when(
                 F.exists(keys, lambda key: key.isin(fv.SESSION_PARAMS)),
-                "session id in the address",
+                fv.URL_PROBLEMS["session"],
             ),
             F.when(
-                https_site & (scheme_of(url) == "http"), "links to the insecure http:// version"
+                https_site & (scheme_of(url) == "http"), fv.URL_PROBLEMS["insecure"]
             ),
         )
     )

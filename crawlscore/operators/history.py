@@ -174,8 +174,8 @@ def owner_alerts(checkups: DataFrame, leads: DataFrame, below: int) -> DataFrame
     done = checkups.where("status = 'done'")
     named = leads.select(F.col("id").alias("lead_id"), "email")
     joined = done.join(named, "lead_id", "left")
-    reason = F.when(F.col("email").isNotNull(), "left their email").when(
-        F.col("health_score") < below, "has a low score (no contact details)")
+    reason = F.when(F.col("email").isNotNull(), fv.ALERT_NAMED).when(
+        F.col("health_score") < below, fv.ALERT_LOW_SCORE)
     return joined.select("id", "url", "health_score", "email", reason.alias("reason")).where(
         "reason IS NOT NULL")
 

@@ -68,7 +68,7 @@ def category_scores(results: DataFrame) -> DataFrame:
         "audit_id", "category", "category_ord", score.alias("score"), tx.band(score).alias("band"),
         F.coalesce(found["checks_run"], F.lit(0)).alias("checks_run"),
         F.coalesce(found["checks_skipped"], F.lit(0)).alias("checks_skipped"),
-        F.when(score.isNull(), F.coalesce(found["first_note"]["note"], F.lit("Not checked.")))
+        F.when(score.isNull(), F.coalesce(found["first_note"]["note"], F.lit(fv.NOTE_NOT_CHECKED)))
         .otherwise("").alias("note"),
     )
 

@@ -75,8 +75,8 @@ def vital_signs(findings: DataFrame, categories: DataFrame) -> DataFrame:
     count, serious = F.size("problems"), F.col("serious")
     issues = F.when(count == 1, "1 issue").otherwise(F.concat(count.cast("string"), F.lit(" issues")))
     headline = (
-        F.when(F.col("score").isNull(), "Not checked this time.")
-        .when(count == 0, "Healthy: nothing to fix here.")
+        F.when(F.col("score").isNull(), fv.HEADLINE_NOT_CHECKED)
+        .when(count == 0, fv.HEADLINE_HEALTHY)
         .when(serious > 0, F.concat(
             issues, F.lit(" found; "),
             F.when(serious == 1, "1 needs").otherwise(
@@ -130,21 +130,18 @@ def issue_totals(findings: DataFrame) -> DataFrame:
 def verdicts(counts: DataFrame, health: DataFrame) -> DataFrame:
     """The one sentence to remember about each audit."""
     serious, total = F.col("needs_treatment"), F.col("needs_treatment") + F.col("worth_fixing")
-    weighty = F.when(serious == 1, "1 serious problem is").otherwise(
-        F.concat(serious.cast("string"), F.lit(" serious problems are")))
+    weighty = F.when(serious == 1, fv.SERIOUS_ONE).otherwise(
+        F.concat(serious.cast("string"), F.lit(fv.SERIOUS_MANY)))
+
+    def around(words: tuple[str, str], middle: Column) -> Column:
+        return F.concat(F.lit(words[0]), middle, F.lit(words[1]))
+
     verdict = (
-        F.when((F.col("health_band") == "healthy") & (total == 0),
-               "Your website is in excellent health.")
-        .when(F.col("health_band") == "healthy",
-              "Your website is in good health, with a few things worth polishing.")
-        .when(F.col("health_band") == "urgent", F.concat(
-            F.lit("Your website needs urgent care: "), weighty,
-            F.lit(" likely costing you customers.")))
-        .when(serious > 0, F.concat(
-            F.lit("Your website works, but "), weighty, F.lit(" holding your business back.")))
-        .otherwise(F.concat(
-            F.lit("Your website works, but "), total.cast("string"),
-            F.lit(" issues are holding your business back.")))
+        F.when((F.col("health_band") == "healthy") & (total == 0), fv.VERDICT_EXCELLENT)
+        .when(F.col("health_band") == "healthy", fv.VERDICT_GOOD)
+        .when(F.col("health_band") == "urgent", around(fv.VERDICT_URGENT, weighty))
+        .when(serious > 0, around(fv.VERDICT_WORKS, weighty))
+        .otherwise(around(fv.VERDICT_ISSUES, total.cast("string")))
     )
     return health.join(counts, "audit_id", "left").fillna(
         0, ["needs_treatment", "worth_fixing"]).select("audit_id", "health_band", verdict.alias("verdict"))

@@ -38,8 +38,8 @@ SKIP_NOTES = {
     "security": "Security facts were not looked up.",
 }
 STAGED_FROM = 8  # with more checks than this, the rows per site are written between the stages
-NOT_APPLICABLE = "Not applicable to this website."
-FAILED = "This check could not be completed."
+NOT_APPLICABLE = fv.NOTE_NOT_APPLICABLE
+FAILED = fv.NOTE_FAILED
 
 
 @dataclass

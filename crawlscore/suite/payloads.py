@@ -75,6 +75,13 @@ def robots_decisions(c):
         f"{robots.allows('g', 'OtherBot/1.0', 'final_url')} AS other")
 
 
+@query("A6_rules", ROBOTS + """ SELECT audit_id, len(regexp_extract_all(text, 'Disallow: /')) AS denies, len(regexp_extract_all(text, '\\nAllow: ')) + len(regexp_extract_all(text, 'Disallow:\\n')) AS allows
+  FROM robots_files WHERE NOT starts_with(text, '<')""")
+def robots_rule_rows(c):
+    return pl.robots_rules(c.derived("robots_files")).groupBy("audit_id").agg(
+        F.count_if(~F.col("allow")).alias("denies"), F.count_if("allow").alias("allows"))
+
+
 SITEMAP = dv.with_clause("sitemap_files")
 
 

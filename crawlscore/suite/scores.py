@@ -38,6 +38,22 @@ def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.health_scores(categories).join(sc.wide_scores(categories), "audit_id")
 
 
+# one or two checks per category that read nothing but pages
+PAGE_ONLY = [
+    "seo.title", "seo.meta_description", "best_practices.https", "best_practices.doctype",
+    "accessibility.html_lang", "accessibility.image_alt", "performance.image_dimensions",
+    "agentic.landmarks",
+]
+
+
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health and category scores of every site, from checks that need its pages alone."""
+    tables = corpus(spark, sf_dir)
+    results = au.check_results(au.AuditInputs(docs=tables.docs), PAGE_ONLY)
+    categories = sc.category_scores(results)
+    return sc.health_scores(categories).join(sc.wide_scores(categories), "audit_id")
+
+
 def _findings(c):
     return c.derived("finding_rows")
 
@@ -213,6 +229,12 @@ def all_scores(c):
     return site_scores(c.spark, c.sf_dir)
 
 
+@query("page_scores")
+def quick_scores(c):
+    """The flagship: scores from pages alone."""
+    return page_scores(c.spark, c.sf_dir)
+
+
 @query("finding_pages")
 def finding_pages(c):
     """The pages of every finding, as rows."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from crawlscore.llm import mixing, quality_rules, url_filters
+from crawlscore.llm import mixing, near_dedup, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_url_filters": url_filters.op7_url_filters,
     "op9_mixing": mixing.op9_mixing,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from crawlscore.llm import mixing, near_dedup, quality_classifier, quality_rules, url_filters
+from crawlscore.llm import mixing, near_dedup, pieces, quality_classifier, quality_rules, token_files, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_token_files": token_files.op2_token_files,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_pieces": pieces.op4_pieces,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_url_filters": url_filters.op7_url_filters,
     "op9_mixing": mixing.op9_mixing,

@@ -66,25 +66,33 @@ def gather(codes: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[n
 
 
 class Memo:
-    """Encoded words kept between batches of a worker, at most `limit` of them.
+    """Encoded words kept between batches of a worker.
 
-    `encode` turns a list of unseen words into byte strings. The memo starts anew when it is full,
-    which costs time only.
+    `encode` turns a list of unseen words into byte strings. Two generations of about `limit` words
+    are kept: when the young one is full it becomes the old one, and words met again move over.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, limit: int):
         self.encode, self.dtype, self.limit = encode, np.dtype(dtype), limit
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def runs(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Starts and values of the runs of the distinct words."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known = self.known
-        unseen = [w for w in distinct if w not in known]
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        unseen = []
+        for word in distinct:
+            if word not in young:
+                known = old.get(word)
+                if known is None:
+                    unseen.append(word)
+                else:
+                    young[word] = known
         if unseen:
-            known.update(zip(unseen, self.encode(unseen)))
-        parts = [known[w] for w in distinct]
+            young.update(zip(unseen, self.encode(unseen)))
+        parts = [young[w] for w in distinct]
         starts = np.zeros(len(parts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)), out=starts[1:])
         return starts // self.dtype.itemsize, np.frombuffer(b"".join(parts), self.dtype)

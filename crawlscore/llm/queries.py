@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from crawlscore.llm import mixing, near_dedup, pieces, quality_classifier, quality_rules, token_files, url_filters
+from crawlscore.llm import (
+    mixing, near_dedup, pieces, quality_classifier, quality_rules, threshold_search, token_files, url_filters, warc_zip,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,10 +13,13 @@ QUERIES = {
     "op4_pieces": pieces.op4_pieces,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_threshold_search": threshold_search.op8_threshold_search,
     "op9_mixing": mixing.op9_mixing,
+    "op10_warc_zip": warc_zip.op10_warc_zip,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op7_url_filters": url_filters.ORACLE,
+    "op8_threshold_search": threshold_search.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

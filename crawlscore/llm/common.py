@@ -52,4 +52,4 @@ def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
             .withColumn(into, F.col(within) + F.col(ahead) - 1).drop(part, within, ahead))
 
 
-__all__ = ["WHITE", "fresh", "materialise", "new_folder", "numbered", "shared_folder", "table"]
+__all__ = ["WHITE", "fresh", "materialise", "new_folder", "numbered", "shared_folder", "ship_package", "table"]

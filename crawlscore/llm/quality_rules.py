@@ -123,8 +123,13 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return judged(docs, text, rules).where("quality.kept").select("row.*")
+    """The documents that pass, with their own columns.
+
+    The verdict goes through a generator, below which Spark pushes no filter: pushed down, the filter
+    would put the word list's expression in place of its column, inside the lambdas that run over it.
+    """
+    verdict = judged(docs, text, rules).select("row", F.explode(F.array("quality.kept")).alias("kept"))
+    return verdict.where("kept").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

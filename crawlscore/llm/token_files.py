@@ -150,15 +150,16 @@ def numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def block(keys: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """One block; `ids` are those of all its documents, `sizes` how many each has."""
-    distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -counts))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, data = coded(rank[inverse])
+    counts = np.bincount(ids)
+    distinct = np.flatnonzero(counts)
+    distinct = distinct[np.argsort(-counts[distinct], kind="stable")]
+    rank = np.zeros(len(counts), np.uint32)
+    rank[distinct] = np.arange(len(distinct), dtype=np.uint32)
+    control, data = coded(rank[ids])
     head = np.array([len(keys), len(ids), len(distinct), len(data)], "<u4").tobytes()
     known = np.array([k is not None for k in keys], np.uint8)
     return b"".join((head, np.array([k or 0 for k in keys], "<i8").tobytes(), known.tobytes(), sizes.astype("<u4").tobytes(),
-                     distinct[order].astype("<u4").tobytes(), control, data))
+                     distinct.astype("<u4").tobytes(), control, data))
 
 
 def unblock(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:

@@ -174,21 +174,21 @@ def link_value(els: str, scheme: str) -> str:
 
 
 def social_profiles(els: str) -> str:
-    """Distinct links to social networks, in order, at most eight."""
+    """Distinct links to social networks, in order."""
     host = "lower(regexp_extract(h, r\"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)\", 1))"
     hosts = "|".join(h.replace(".", "\\.") for h in fv.SOCIAL_HOSTS)
     hrefs = f"transform({tagged(els, 'a')}, e -> {strip(attr('href'))})"
     return (
-        f"slice(array_distinct(filter({hrefs}, h -> {host} RLIKE "
-        + regex(rf"^(.*\.)?({hosts})$") + ")), 1, 8)"
+        f"array_distinct(filter({hrefs}, h -> {host} RLIKE "
+        + regex(rf"^(.*\.)?({hosts})$") + "))"
     )
 
 
 def question_pairs(els: str) -> str:
-    """Questions with the answer that follows them, at most six."""
+    """Questions with the answer that follows them."""
     return (
-        f"slice(transform(filter({els}, e -> e.question IS NOT NULL), "
-        "e -> named_struct('question', e.question, 'answer', e.answer)), 1, 6)"
+        f"transform(filter({els}, e -> e.question IS NOT NULL), "
+        "e -> named_struct('question', e.question, 'answer', e.answer))"
     )
 
 

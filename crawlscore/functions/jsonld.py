@@ -11,7 +11,6 @@ from crawlscore import fixed_values as fv
 from crawlscore.functions.elements import quoted
 
 EMPTY_VALUES = "'null', '\"\"', '[]', '{}'"
-GRAPH_LEVELS = 3  # nested @graph levels followed below the top level
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -91,15 +90,20 @@ def nested_faults(v: str) -> str:
 
 
 def block_entries(parsed: str) -> str:
-    """All objects of one parsed block: the top level, then what its @graph lists hold."""
+    """All objects of one parsed block: the top level, then what its @graph lists hold, level by level.
+
+    A block is followed as deep as it says "@graph", so no level is out of reach.
+    """
     def below(level: str) -> str:
         return f"flatten(transform({level}, g -> {_list_only(_get('g', '@graph'))}))"
 
-    names = [f"level_{i}" for i in range(GRAPH_LEVELS + 1)]
-    body = f"filter(concat({', '.join(names)}), v -> {_is_object('v')})"
-    for i in range(GRAPH_LEVELS, 0, -1):
-        body = let(below(names[i - 1]), names[i], body)
-    return let(parsed, "whole", let(_as_list("whole"), names[0], body))
+    deeper = let(below("a.level"), "next", "named_struct('level', next, 'found', concat(a.found, next))")
+    found = (
+        f"aggregate(sequence(1, coalesce(regexp_count(to_json(whole), '\"@graph\"'), 0)), "
+        f"named_struct('level', top, 'found', top), (a, i) -> {deeper}, a -> a.found)"
+    )
+    objects = f"filter({found}, v -> {_is_object('v')})"
+    return let(parsed, "whole", let(_as_list("whole"), "top", objects))
 
 
 def json_items(blocks: str) -> str:

@@ -349,7 +349,7 @@ CHECKS = [
         },
         rules=(
             Rule("forms", "warn", "NOT home.dom_has_privacy_link AND form_pages > 0",
-                 affected="least(form_pages, 3)",
+                 affected="form_pages",
                  message="'Forms ask for details, but there is no privacy policy.'"),
             Rule("none", "info", "NOT home.dom_has_privacy_link AND form_pages = 0", "low",
                  affected="0", message="'There is no privacy policy link.'"),

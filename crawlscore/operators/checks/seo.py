@@ -222,7 +222,7 @@ CHECKS = [
         },
         rules=(
             Rule("elsewhere", "info", "NOT contact_on_home AND contact_elsewhere > 0", "low",
-                 affected="least(contact_elsewhere, 3)",
+                 affected="contact_elsewhere",
                  message="'Contact details stand only on other pages.'"),
             Rule("none", "warn", "NOT contact_on_home AND contact_elsewhere = 0", "high",
                  message="'No phone number or mail address was found.'"),

@@ -1,8 +1,8 @@
 """Which pages to crawl, which links to probe, and where broken ones stand.
 
 One site may hold a third of all links. Duplicates therefore collapse in aggregates before
-they are ranked, and every "first N" is a window limit, of which Spark keeps N rows per site
-and task before the shuffle.
+they are ranked. Nothing is cut by default; a caller's "first N" is a window limit, of which Spark
+keeps N rows per site and task before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from crawlscore.functions import robots, urls
 from crawlscore.plans.side_tables import links
 
 
-def _first(df: DataFrame, count: int, *order) -> DataFrame:
+def _first(df: DataFrame, count: int | None, *order) -> DataFrame:
+    if count is None:
+        return df
     window = Window.partitionBy("audit_id").orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(window)).where(
         F.col("__rank") <= count).drop("__rank")
@@ -44,9 +46,9 @@ def _with_site(df: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def choose_pages(found: DataFrame, sites: DataFrame, agent: str = "*",
-                 limit: int = fv.MAX_PAGES - 1) -> tuple[DataFrame, DataFrame]:
-    """(wanted, skipped): the first `limit` pages robots.txt allows, and those it forbids
-    before the last wanted one.
+                 limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(wanted, skipped): the pages robots.txt allows, or the first `limit` of them, and those it
+    forbids (before the last wanted one, where the limit is reached).
 
     `sites` has audit_id, home_url and robots_groups (null when there is no robots.txt).
     """
@@ -61,6 +63,8 @@ def choose_pages(found: DataFrame, sites: DataFrame, agent: str = "*",
         + robots.allows("robots_groups", agent, "page") + " END")
     judged = own.select("audit_id", "page", "at", allowed.alias("allowed"))
     wanted = _first(judged.where("allowed"), limit, "at")
+    if limit is None:
+        return wanted.select("audit_id", "page", "at"), judged.where("NOT allowed").select("audit_id", "page", "at")
     last = wanted.groupBy("audit_id").agg(
         F.count("*").alias("n"), F.max("at").alias("last"))
     skipped = judged.where("NOT allowed").join(last, "audit_id", "left").where(
@@ -68,8 +72,8 @@ def choose_pages(found: DataFrame, sites: DataFrame, agent: str = "*",
     return wanted.select("audit_id", "page", "at"), skipped.select("audit_id", "page", "at")
 
 
-def discover(found: DataFrame, sites: DataFrame, limit: int = fv.MAX_DISCOVERED) -> DataFrame:
-    """Every distinct page address of a site in the order found, up to the listing limit."""
+def discover(found: DataFrame, sites: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every distinct page address of a site with the first place it was found (`at`)."""
     normal = found.withColumn(
         "page", urls.normalize_url(urls.without_fragment(F.col("raw")))).where(
         F.col("page").isNotNull() & urls.is_page_address(F.col("page")))
@@ -101,8 +105,8 @@ def _first_places(edges: DataFrame) -> DataFrame:
 
 
 def links_to_verify(edges: DataFrame, pages: DataFrame,
-                    limit: int = fv.MAX_INTERNAL_CHECKS) -> DataFrame:
-    """Internal links not crawled yet, the first ones of each site."""
+                    limit: int | None = None) -> DataFrame:
+    """Internal links not crawled yet."""
     crawled = pages.select("audit_id", F.explode(F.array("final_url", "url")).alias("link")).distinct()
     open_links = _first_places(edges).join(crawled, ["audit_id", "link"], "left_anti")
     return _first(open_links, limit, "at")
@@ -133,7 +137,7 @@ def external_links(docs: DataFrame, sites: DataFrame) -> DataFrame:
     return joined.where(away).select("audit_id", "link", "at", "on_pages", walled.alias("walled"))
 
 
-def external_to_check(external: DataFrame, limit: int = fv.MAX_EXTERNAL_CHECKS) -> DataFrame:
+def external_to_check(external: DataFrame, limit: int | None = None) -> DataFrame:
     return _first(external.where("NOT walled"), limit, "at")
 
 
@@ -150,16 +154,16 @@ def image_edges(docs: DataFrame) -> DataFrame:
         F.min("image_ord").alias("link_ord"))
 
 
-def images_to_check(edges: DataFrame, limit: int = fv.MAX_IMAGE_CHECKS) -> DataFrame:
+def images_to_check(edges: DataFrame, limit: int | None = None) -> DataFrame:
     return _first(_first_places(edges), limit, "at")
 
 
 def broken_breakdown(statuses: DataFrame, edges: DataFrame, broken: str,
-                     pages_shown: int = 5, listed: int = fv.MAX_LISTED) -> DataFrame:
+                     pages_shown: int = 5, listed: int | None = None) -> DataFrame:
     """Broken addresses with their answer, the first pages they stand on, and how many more.
 
-    Only broken addresses meet the edges, and each keeps its first few pages by a window
-    limit; the exact number of pages is counted apart.
+    The text names `pages_shown` pages, which a window limit keeps; the exact number of pages is
+    counted apart, and every broken address is listed.
     """
     bad = statuses.where(broken).select("audit_id", F.col("url").alias("link"), "status_code")
     hits = edges.join(bad.select("audit_id", "link"), ["audit_id", "link"], "left_semi").select(
@@ -183,8 +187,8 @@ def broken_breakdown(statuses: DataFrame, edges: DataFrame, broken: str,
 
 
 def first_culprits(statuses: DataFrame, docs: DataFrame, broken: str, tag: str = "a",
-                   attribute: str = "href", limit: int = 3) -> DataFrame:
-    """The first element pointing at each broken address, for the first three of a site."""
+                   attribute: str = "href", limit: int | None = None) -> DataFrame:
+    """The first element pointing at each broken address."""
     bad = statuses.where(broken).select("audit_id", F.col("url").alias("link"))
     spots = docs.selectExpr(
         "audit_id", "page_key", "final_url",

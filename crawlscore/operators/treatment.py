@@ -90,11 +90,12 @@ def issue_rows(findings: DataFrame) -> DataFrame:
     """Quick wins, other problems, then notes; each with a key stable within its report."""
     plan = treatment_plan(findings).select(
         "audit_id", "check_id", "code", "severity", "quick_win", "category",
-        F.when(F.col("quick_win"), 0).otherwise(1).alias("part"), F.col("plan_ord").alias("place"))
-    place = (
-        _case("category", {c: i for i, c in enumerate(fv.CATEGORIES)}) * 1000000
-        + F.col("check_ord") * 1000 + F.col("finding_ord")
-    )
+        F.when(F.col("quick_win"), 0).otherwise(1).alias("part"),
+        F.struct(F.col("plan_ord").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"),
+                 F.lit(0).cast("bigint").alias("c")).alias("place"))
+    place = F.struct(
+        _case("category", {c: i for i, c in enumerate(fv.CATEGORIES)}).cast("bigint").alias("a"),
+        F.col("check_ord").cast("bigint").alias("b"), F.col("finding_ord").cast("bigint").alias("c"))
     notes = findings.where("severity = 'info'").select(
         "audit_id", "check_id", "code", "severity", F.lit(False).alias("quick_win"), "category",
         F.lit(2).alias("part"), place.alias("place"))
@@ -191,16 +192,16 @@ def fix_summary(findings: DataFrame) -> DataFrame:
     })
 
 
-def evidence(shots: DataFrame, count: int = fv.MAX_SHOTS) -> DataFrame:
-    """Which elements to picture: failures, then warnings, then notes; at most 24 a report.
+def evidence(shots: DataFrame, count: int | None = None) -> DataFrame:
+    """Elements to picture by rank: failures, then warnings, then notes; the first `count` if given.
 
     `shots` has audit_id, severity, check_ord, finding_ord, shot_ord. Spark's limit inside a
     window group keeps each task to its best rows before the shuffle.
     """
     order = Window.partitionBy("audit_id").orderBy(
         _case("severity", SEVERITY_RANK), "check_ord", "finding_ord", "shot_ord")
-    return shots.where("severity <> 'pass'").withColumn(
-        "pick", F.row_number().over(order)).where(F.col("pick") <= count)
+    ranked = shots.where("severity <> 'pass'").withColumn("pick", F.row_number().over(order))
+    return ranked if count is None else ranked.where(F.col("pick") <= count)
 
 
 def runner_notes(skipped: DataFrame, capabilities: DataFrame) -> DataFrame:

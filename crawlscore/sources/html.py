@@ -291,7 +291,7 @@ def parse_html(html: str) -> dict:
             if asked.endswith("?") and len(asked) <= 200:
                 found = _next_text(node)
                 if found and found != asked:
-                    question, answer = asked, found[:300]
+                    question, answer = asked, found
         elements.append({
             "ord": node.ord, "tag": node.tag, "attrs": list(node.attrs.items()), "text": text,
             "in_head": node.in_head, "in_label": node.in_label,

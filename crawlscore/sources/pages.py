@@ -87,11 +87,16 @@ def render_docs(renders: DataFrame) -> DataFrame:
 # --- bot-protection pages ------------------------------------------------------------------------
 
 
-def checkpoint_provider(status: Column, headers: Column, text: Column) -> Column:
-    """Name of the firewall that answered instead of the site, '' if unknown, null if none."""
-    head = F.lower(F.substring(text, 1, 20000))
+def checkpoint_provider(status: Column, headers: Column, text: Column,
+                        short_page: int = fv.SHORT_PAGE) -> Column:
+    """Name of the firewall that answered instead of the site, '' if unknown, null if none.
+
+    Markers count anywhere in the text. An answer that is neither a refusal nor shorter than
+    `short_page` characters is a real page, whatever it says.
+    """
+    head = F.lower(text)
     refused = status.isin(403, 429, 503)
-    suspicious = refused | (F.length(text) < 15000)
+    suspicious = refused | (F.length(text) < short_page)
     phrase = F.lit(False)
     for words in fv.CHECKPOINT_PHRASES:
         phrase = phrase | head.contains(words)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlscore import fixed_values as fv
+from crawlscore.session import materialise
 from crawlscore.functions import robots
 from crawlscore.functions.text import strip
 
@@ -98,33 +99,28 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
 
 
 def sitemap_info(starts: DataFrame, files: DataFrame) -> DataFrame:
-    """Follow sitemap indexes from each site's start addresses, at most three files.
+    """Follow sitemap indexes from each site's start addresses until no new address is listed.
 
-    `starts` has audit_id, start_ord, url. Files are read in the order they are queued: the
-    start addresses, then what the first index lists, and so on. Three files can hold two
-    index levels at most, so two joins on the address follow them all. Each level keeps its
-    first three addresses, which is exact because no later one can be read any more.
+    `starts` has audit_id, start_ord, url. Level by level, the addresses that were not read before
+    meet the files; each level is written, so later ones do not repeat it.
     """
     parsed = sitemap_files(files).select("audit_id", "url", "is_index", "locations")
-
-    def first_three(level: DataFrame) -> DataFrame:
-        order = Window.partitionBy("audit_id").orderBy("queue")
-        return level.withColumn("rank", F.row_number().over(order)).where(
-            F.col("rank") <= fv.MAX_SITEMAP_FILES).drop("rank")
-
-    level = first_three(starts.select(
-        "audit_id", "url", F.array(F.col("start_ord").cast("int")).alias("queue")))
-    visited = None
-    for depth in range(3):
-        read = level.join(parsed, ["audit_id", "url"], "left").withColumn("depth", F.lit(depth))
-        visited = read if visited is None else visited.unionByName(read)
-        level = first_three(read.where("is_index").selectExpr(
+    level = starts.select("audit_id", "url", F.array(F.col("start_ord").cast("int")).alias("queue"))
+    visited, depth = None, 0
+    while True:
+        level = level.groupBy("audit_id", "url").agg(F.min("queue").alias("queue"))
+        if visited is not None:
+            level = level.join(visited.select("audit_id", "url"), ["audit_id", "url"], "left_anti")
+        read = materialise(level.join(parsed, ["audit_id", "url"], "left").withColumn("depth", F.lit(depth)), "sitemaps")
+        if visited is not None and not read.limit(1).count():
+            break
+        visited, depth = (read if visited is None else visited.unionByName(read)), depth + 1
+        level = read.where("is_index").selectExpr(
             "audit_id", "posexplode(locations) AS (ord, next)", "queue").selectExpr(
-            "audit_id", "next AS url", "concat(queue, array(ord)) AS queue"))
+            "audit_id", "next AS url", "concat(queue, array(ord)) AS queue")
     order = Window.partitionBy("audit_id").orderBy("depth", "queue")
-    kept = visited.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= fv.MAX_SITEMAP_FILES)
-    return kept.groupBy("audit_id").agg(  # three rows per site at most
+    kept = visited.withColumn("rank", F.row_number().over(order))
+    return kept.groupBy("audit_id").agg(
         F.expr("transform(array_sort(collect_list(struct(rank, url))), x -> x.url)")
         .alias("sitemap_checked"),
         F.bool_or(F.col("is_index").isNotNull()).alias("sitemap_found"),
@@ -305,7 +301,7 @@ def exposed_files(git: Column, env: Column, security_txt: Column) -> Column:
 
 
 def llms_text(files: DataFrame) -> DataFrame:
-    """llms.txt where a real text file was answered, cut to what a report keeps."""
+    """llms.txt where a real text file was answered."""
     exists = robots.file_exists_sql("status_code", "content_type", "text")
     return files.selectExpr(
-        "audit_id", f"CASE WHEN {exists} THEN left(text, {fv.LLMS_TXT_KEEP}) ELSE '' END AS llms_txt_text")
+        "audit_id", f"CASE WHEN {exists} THEN text ELSE '' END AS llms_txt_text")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crawlscore import fixed_values as fv
 from crawlscore.plans.audit import check_results
-from crawlscore.suite.corpus import LIMITS, STATUS_OF, query
+from crawlscore.suite.corpus import STATUS_OF, query
 from crawlscore.suite.oracle_pages import (
     check_sql, count, decoded, first, origin, page_cte, share,
 )
@@ -124,9 +124,9 @@ img_links AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY spot)
   WHERE src <> '' AND NOT starts_with(src, 'data:') GROUP BY 1, 2) AS y),
 url_status AS (
   SELECT DISTINCT audit_id, 'internal' AS kind, final_url AS url, 200 AS status_code FROM op
-  UNION ALL SELECT audit_id, 'internal', link, {STATUS_OF.format(u='link')} FROM todo WHERE rn <= {LIMITS['internal']}
-  UNION ALL SELECT audit_id, 'external', link, {STATUS_OF.format(u='link')} FROM away WHERE rn <= {LIMITS['external']}
-  UNION ALL SELECT audit_id, 'image', link, {STATUS_OF.format(u='link')} FROM img_links WHERE rn <= {LIMITS['image']}
+  UNION ALL SELECT audit_id, 'internal', link, {STATUS_OF.format(u='link')} FROM todo
+  UNION ALL SELECT audit_id, 'external', link, {STATUS_OF.format(u='link')} FROM away
+  UNION ALL SELECT audit_id, 'image', link, {STATUS_OF.format(u='link')} FROM img_links
 )"""
 
 
@@ -327,7 +327,7 @@ O["seo.duplicate_titles"] = check_sql(
 O["seo.contact_details"] = check_sql(
     agg(f"bool_or(pos = 1 AND ({contact('dom')} OR contains(dom, 'hello@shop.example'))) AS h, "
         f"{n('pos > 1 AND ' + contact('html'))} AS e"),
-    [("elsewhere", "NOT h AND e > 0", "info", "low", "low", "least(e, 3)"),
+    [("elsewhere", "NOT h AND e > 0", "info", "low", "low", "e"),
      ("none", "NOT h AND e = 0", "warn", "high", "low", "1")])
 O["seo.click_to_call"] = home_check(
     [("plain_text", written_phone("dom"), "warn", "medium", "low", "1")],
@@ -450,7 +450,7 @@ O["best_practices.call_to_action"] = home_check(
 FORM = "(contains({h}, 'type=\"email\"') OR contains({h}, '<textarea>'))"
 O["best_practices.privacy_policy"] = check_sql(
     agg(f"bool_or(pos = 1 AND contains(lower(dom), 'privacy')) AS p, {n(FORM.format(h='dom'))} AS f"),
-    [("forms", "NOT p AND f > 0", "warn", "medium", "low", "least(f, 3)"), ("none", "NOT p AND f = 0", "info", "low", "low", "0")])
+    [("forms", "NOT p AND f > 0", "warn", "medium", "low", "f"), ("none", "NOT p AND f = 0", "info", "low", "low", "0")])
 O["best_practices.social_proof"] = home_check(
     [("none", "NOT (contains(dom, 'aggregateRating') OR contains(dom, 'What our customers say'))", "info", "medium", "low", "0")])
 MISSING_ALT = f"len(list_filter({DOM_IMGS}, i -> NOT contains(i, 'alt=')))"

@@ -9,7 +9,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlscore import fixed_values as fv
 from crawlscore.operators import linkgraph as lg
 from crawlscore.plans.audit import AuditInputs, check_results
 from crawlscore.session import materialise, ship_package
@@ -155,7 +154,3 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return add
-
-
-LIMITS = {"internal": fv.MAX_INTERNAL_CHECKS, "external": fv.MAX_EXTERNAL_CHECKS,
-          "image": fv.MAX_IMAGE_CHECKS}

@@ -51,16 +51,15 @@ def _chosen(c):
     return lg.choose_pages(_candidates(c), c.homes)
 
 
-@query("D2", _CHOSEN + f""" SELECT audit_id, page, 'wanted' AS verdict FROM ok WHERE rn <= {fv.MAX_PAGES - 1}
-  UNION ALL SELECT o.audit_id, o.page, 'skipped' FROM other o LEFT JOIN (SELECT audit_id, count(*) AS k, max(place) AS last FROM ok WHERE rn <= {fv.MAX_PAGES - 1} GROUP BY 1) l USING (audit_id)
-  WHERE NOT allowed AND (coalesce(k, 0) < {fv.MAX_PAGES - 1} OR o.place < last)""")
+@query("D2", _CHOSEN + f""" SELECT audit_id, page, 'wanted' AS verdict FROM ok 
+  UNION ALL SELECT audit_id, page, 'skipped' FROM other WHERE NOT allowed""")
 def chosen(c):
     wanted, skipped = _chosen(c)
     return wanted.select("audit_id", "page", F.lit("wanted").alias("verdict")).unionByName(
         skipped.select("audit_id", "page", F.lit("skipped").alias("verdict")))
 
 
-@query("D3", page_cte(hrefs=True) + "," + CANDIDATES + f" SELECT audit_id, page FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY place) AS rn FROM own) AS x WHERE rn <= {fv.MAX_DISCOVERED}")
+@query("D3", page_cte(hrefs=True) + "," + CANDIDATES + " SELECT audit_id, page FROM own")
 def discovered(c):
     return lg.discover(_candidates(c), c.homes).select("audit_id", "page")
 
@@ -74,13 +73,13 @@ def internal(c):
         "audit_id", F.col("page_key.id").alias("page_id")).agg(F.count("*").alias("links"))
 
 
-@query("D5", _EDGES + f" SELECT audit_id, link FROM todo WHERE rn <= {fv.MAX_INTERNAL_CHECKS}")
+@query("D5", _EDGES + " SELECT audit_id, link FROM todo")
 def to_verify(c):
     return lg.links_to_verify(lg.internal_edges(c.docs, c.homes), c.docs).select("audit_id", "link")
 
 
 @query("D6", _EDGES + f""" SELECT audit_id, url, CASE WHEN e.code IS NULL THEN u.status_code ELSE e.code END AS status_code FROM (SELECT * FROM url_status WHERE kind = 'internal') u
-  LEFT JOIN (SELECT audit_id, link, CASE WHEN substr(md5(link), 2, 1) < '4' THEN 410 WHEN substr(md5(link), 2, 1) < '8' THEN 0 END AS code FROM todo WHERE rn <= {fv.MAX_INTERNAL_CHECKS}) e ON e.audit_id = u.audit_id AND e.link = u.url""".replace("SELECT audit_id, url, CASE", "SELECT u.audit_id, u.url, CASE"))
+  LEFT JOIN (SELECT audit_id, link, CASE WHEN substr(md5(link), 2, 1) < '4' THEN 410 WHEN substr(md5(link), 2, 1) < '8' THEN 0 END AS code FROM todo) e ON e.audit_id = u.audit_id AND e.link = u.url""".replace("SELECT audit_id, url, CASE", "SELECT u.audit_id, u.url, CASE"))
 def statuses(c):
     from crawlscore.suite.corpus import with_status
 
@@ -92,7 +91,7 @@ def statuses(c):
 
 
 @query("D7", _EDGES + """, ext AS (SELECT audit_id, link, min(pos * 100000 + ord) AS place, site = 'facebook.com' AS walled FROM reg WHERE site <> own_site GROUP BY 1, 2, 4)
-  SELECT audit_id, link, walled, NOT walled AND row_number() OVER (PARTITION BY audit_id, walled ORDER BY place) <= 30 AS checked FROM ext""")
+  SELECT audit_id, link, walled, NOT walled AS checked FROM ext""")
 def external(c):
     found = lg.external_links(c.docs, c.homes)
     chosen = lg.external_to_check(found).select("audit_id", "link", F.lit(True).alias("checked"))
@@ -100,7 +99,7 @@ def external(c):
         chosen, ["audit_id", "link"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
 
 
-@query("D8", _EDGES + f" SELECT audit_id, link FROM img_links WHERE rn <= {fv.MAX_IMAGE_CHECKS}")
+@query("D8", _EDGES + " SELECT audit_id, link FROM img_links")
 def images(c):
     return lg.images_to_check(lg.image_edges(c.docs)).select("audit_id", "link")
 
@@ -109,7 +108,7 @@ def images(c):
 spots AS (SELECT audit_id, link, final_url, pos, row_number() OVER (PARTITION BY audit_id, link ORDER BY pos) AS n, count(*) OVER (PARTITION BY audit_id, link) AS k FROM (SELECT DISTINCT l.audit_id, c.link, l.final_url, l.pos
   FROM cut_links c JOIN op l USING (audit_id, pos)) AS d)
 SELECT b.audit_id, b.url AS link, CASE WHEN status_code = 0 THEN 'can''t be reached' ELSE concat('error ', status_code) END AS answer, coalesce(max(k), 0) AS on_pages, coalesce(string_agg(final_url, ' ' ORDER BY n) FILTER (WHERE n <= 5), '') AS pages,
-  greatest(coalesce(max(k), 0) - 5, 0) AS more_pages FROM bad b LEFT JOIN spots s ON s.audit_id = b.audit_id AND s.link = b.url WHERE b.rn <= {fv.MAX_LISTED} GROUP BY b.audit_id, b.url, status_code""")
+  greatest(coalesce(max(k), 0) - 5, 0) AS more_pages FROM bad b LEFT JOIN spots s ON s.audit_id = b.audit_id AND s.link = b.url GROUP BY b.audit_id, b.url, status_code""")
 def breakdown(c):
     own = c.url_status.where("kind = 'internal'").drop("kind")
     return lg.broken_breakdown(own, lg.internal_edges(c.docs, c.homes), INTERNAL_BROKEN).selectExpr(
@@ -149,7 +148,7 @@ def gate(c):
 
 
 @query("C7", _EDGES + f""", bad AS (SELECT audit_id, url, row_number() OVER (PARTITION BY audit_id ORDER BY url) AS rn FROM url_status u WHERE kind = 'internal' AND {INTERNAL_BROKEN} AND EXISTS (SELECT 1 FROM cut_links c WHERE c.audit_id = u.audit_id AND c.link = u.url))
-  SELECT b.audit_id, b.url AS link, arg_min(p.final_url, c.pos) AS page FROM bad b JOIN cut_links c ON c.audit_id = b.audit_id AND c.link = b.url JOIN op p ON p.audit_id = c.audit_id AND p.pos = c.pos WHERE rn <= 3 GROUP BY 1, 2""")
+  SELECT b.audit_id, b.url AS link, arg_min(p.final_url, c.pos) AS page FROM bad b JOIN cut_links c ON c.audit_id = b.audit_id AND c.link = b.url JOIN op p ON p.audit_id = c.audit_id AND p.pos = c.pos GROUP BY 1, 2""")
 def culprits(c):
     own = c.url_status.where("kind = 'internal'").drop("kind")
     return lg.first_culprits(own, c.docs, INTERNAL_BROKEN).selectExpr(

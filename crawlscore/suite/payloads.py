@@ -242,7 +242,7 @@ def firewalls(c):
         F.col("status"), F.col("headers"), F.col("html")).alias("provider"))
 
 
-@query("A20", "SELECT doc_id AS audit_id, CASE WHEN n_chars < 3000 THEN left(text, 4000) ELSE '' END AS llms_txt_text FROM documents")
+@query("A20", "SELECT doc_id AS audit_id, CASE WHEN n_chars < 3000 THEN text ELSE '' END AS llms_txt_text FROM documents")
 def llms(c):
     files = c.table("documents").selectExpr(
         "doc_id AS audit_id", "CASE WHEN n_chars < 3000 THEN 200 ELSE 404 END AS status_code",

@@ -164,10 +164,7 @@ def signs(c):
   UNION ALL SELECT audit_id, check_id, finding_ord, false, 2, row_number() OVER (PARTITION BY audit_id ORDER BY check_ord, finding_ord) FROM finding_rows WHERE severity = 'info')
 SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY part, place) AS issue_ord, concat(replace(replace(check_id, '.', '-'), '_', '-'), '-', row_number() OVER (PARTITION BY audit_id, check_id ORDER BY part, place)) AS key, quick_win FROM issues""")
 def issues(c):
-    rows = _findings(c).withColumn("finding_ord", F.col("finding_ord"))
-    numbered = rows.withColumn("finding_ord", F.row_number().over(
-        tr.Window.partitionBy("audit_id", "check_ord").orderBy("finding_ord")))
-    return tr.issue_rows(numbered).select(
+    return tr.issue_rows(_findings(c)).select(
         "audit_id", F.col("issue_ord").cast("bigint").alias("issue_ord"), "key", "quick_win")
 
 
@@ -203,7 +200,7 @@ def fix_times(c):
         "audit_id", "total_minutes", "diy_count", "developer_minutes")
 
 
-@query("H11", FINDINGS + f""" SELECT audit_id, finding_ord, pick FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY {SEV}, check_ord, finding_ord) AS pick FROM finding_rows WHERE severity <> 'pass') AS x WHERE pick <= 24""")
+@query("H11", FINDINGS + f""" SELECT audit_id, finding_ord, pick FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY {SEV}, check_ord, finding_ord) AS pick FROM finding_rows WHERE severity <> 'pass') AS x""")
 def evidence(c):
     return tr.evidence(_findings(c).withColumn("shot_ord", F.lit(0))).select(
         "audit_id", "finding_ord", F.col("pick").cast("bigint").alias("pick"))

@@ -37,7 +37,6 @@ SKIP_NOTES = {
     "pagespeed": "No speed test was made.",
     "security": "Security facts were not looked up.",
 }
-STAGED_FROM = 8  # with more checks than this, the rows per site are written between the stages
 NOT_APPLICABLE = fv.NOTE_NOT_APPLICABLE
 FAILED = fv.NOTE_FAILED
 
@@ -77,7 +76,7 @@ def _all_sql(check: Check) -> str:
     ])
 
 
-def site_facts(inputs: AuditInputs, checks: list[Check]) -> DataFrame:
+def site_facts(inputs: AuditInputs, checks: list[Check], stage: bool = False) -> DataFrame:
     """One row per audit with every measure the given checks need."""
     features = dict(FEATURES)
     for check in checks:
@@ -110,7 +109,7 @@ def site_facts(inputs: AuditInputs, checks: list[Check]) -> DataFrame:
         F.expr(f"min_by(struct({', '.join(['final_url AS url', *home])}), page_key)").alias("home"),
         *[F.expr(f"{m.group(1)}({bodies[n]})").alias(n) for n, m in counted.items()],
     ).withColumn("home_url", F.col("home.url"))
-    if len(checks) > STAGED_FROM:
+    if stage:
         # one row per site, read again by the side tables that need the homepage
         site = materialise(site, "page-facts")
 
@@ -119,7 +118,8 @@ def site_facts(inputs: AuditInputs, checks: list[Check]) -> DataFrame:
         seen_wanted = seen_names | {w for s in shares.values() for w in WORD.findall(s)}
         rendered = layered(inputs.render_docs, features, seen_wanted)
         seen = [*sorted(seen_names), *[f"{s} AS {n}" for n, s in sorted(shares.items())]]
-        rendered = rendered.selectExpr("audit_id", f"struct({', '.join(seen)}) AS seen")
+        rendered = rendered.selectExpr("audit_id", f"struct({', '.join(seen)}) AS seen").groupBy("audit_id").agg(
+            F.max_by("seen", F.to_json("seen")).alias("seen"))
         site = site.join(rendered, "audit_id", "left")
         picks = [f"if(seen IS NULL, home.{n}, seen.{n}) AS {n}" for n in dom_fields]
         site = site.withColumn("rendered", F.col("seen").isNotNull())
@@ -139,7 +139,8 @@ def site_facts(inputs: AuditInputs, checks: list[Check]) -> DataFrame:
             site = site.withColumn(name, F.lit(None).cast(f"struct<{schema}>"))
             continue
         fields = [c for c in side.columns if c != "audit_id"]
-        side = side.select("audit_id", F.struct(*fields).alias(name))
+        # several rows for a site: the largest counts, whatever their order
+        side = side.groupBy("audit_id").agg(F.max(F.struct(*fields)).alias(name))
         site = site.join(side, "audit_id", "left")
     site = site.withColumn("as_of_year", F.year(F.lit(inputs.as_of).cast("timestamp")))
     rewritten = {n: HOME_DOM.sub(r"dom.\1", s) for n, s in derived.items()}
@@ -293,17 +294,18 @@ def _result_struct(check: Check, order: int, usable: bool) -> str:
 SEVERITY_SCORE = "CASE {} WHEN 'fail' THEN 0.0D WHEN 'warn' THEN 0.5D ELSE 1.0D END"
 
 
-def check_results(inputs: AuditInputs, only: list[str] | None = None) -> DataFrame:
+def check_results(inputs: AuditInputs, only: list[str] | None = None, stage: bool = False) -> DataFrame:
     """One row per audit and check: status, score, note and the findings.
 
-    Rows exist for every check, also for those that did not run.
+    Rows exist for every check, also for those that did not run. With `stage` the rows per site are
+    written between the steps, which pays when many checks run.
     """
     every = catalogue()
     checks = [c for i, c in every.items() if only is None or i in only]
     order = {check_id: i for i, check_id in enumerate(every)}
     sound = [c for c in checks if _facts_usable(inputs, c)]
-    site = site_facts(inputs, sound)
-    if len(checks) > STAGED_FROM:
+    site = site_facts(inputs, sound, stage)
+    if stage:
         # one short row per site: written, so that the long list of rules is planned over a
         # plain scan and adaptive execution does not optimise it again after every stage
         site = materialise(site, "site-facts")

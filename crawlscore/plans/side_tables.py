@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from crawlscore import fixed_values as fv
 from crawlscore.functions import robots, text as tx, urls
 
+SITE_DEAL = 16  # parts that the addresses of a site are dealt to
 INTERNAL_BROKEN = "(status_code = 0 OR status_code >= 400)"
 SURELY_BROKEN = "(status_code IN (0, 404, 410) OR status_code BETWEEN 500 AND 599)"
 VERIFIED = f"(status_code BETWEEN 200 AND 399 OR {SURELY_BROKEN})"
@@ -51,7 +52,7 @@ def device_table(views: DataFrame) -> DataFrame:
     """Phone and tablet measurements side by side."""
     fields = [c for c in views.columns if c not in ("audit_id", "name")]
     return views.groupBy("audit_id").agg(*[
-        F.first(F.when(F.col("name") == name, F.struct(*fields)), ignorenulls=True).alias(name)
+        F.max(F.when(F.col("name") == name, F.struct(*fields))).alias(name)
         for name in ("mobile", "tablet")
     ])
 
@@ -59,7 +60,7 @@ def device_table(views: DataFrame) -> DataFrame:
 def agents_table(probes: DataFrame) -> DataFrame:
     fields = ["status_code", "text_length", "challenge"]
     return probes.groupBy("audit_id").agg(*[
-        F.first(F.when(F.col("agent") == name, F.struct(*fields)), ignorenulls=True).alias(name)
+        F.max(F.when(F.col("agent") == name, F.struct(*fields))).alias(name)
         for name in ("ai", "browser")
     ])
 
@@ -67,7 +68,7 @@ def agents_table(probes: DataFrame) -> DataFrame:
 def speed_table(tests: DataFrame) -> DataFrame:
     fields = [c for c in tests.columns if c not in ("audit_id", "strategy")]
     return tests.groupBy("audit_id").agg(*[
-        F.first(F.when(F.col("strategy") == name, F.struct(*fields)), ignorenulls=True).alias(name)
+        F.max(F.when(F.col("strategy") == name, F.struct(*fields))).alias(name)
         for name in ("mobile", "desktop")
     ])
 
@@ -192,14 +193,18 @@ def links(docs: DataFrame) -> DataFrame:
 def address_quality(docs: DataFrame, homes: DataFrame) -> DataFrame:
     """Distinct addresses of each site's own pages and links, and how many break the rules.
 
-    Distinct first, so the join with the one homepage row per site meets each address once.
+    Distinct first, so the join with the one homepage row per site meets each address once. The
+    addresses of a site are dealt out by their hash, so that a hot site is joined by many tasks and
+    counted before it meets in one.
     """
     found = docs.select("audit_id", F.col("final_url").alias("address"), F.lit(True).alias("own"))
     linked = links(docs).select(
         "audit_id", urls.without_fragment(F.col("link")).alias("address"), F.lit(False).alias("own"))
     distinct = found.unionByName(linked).groupBy("audit_id", "address").agg(
         F.bool_or("own").alias("own"))
-    joined = distinct.join(homes.select("audit_id", "home_url"), "audit_id")
+    deal = F.pmod(F.xxhash64("address"), F.lit(SITE_DEAL))
+    copies = homes.select("audit_id", "home_url", F.explode(F.expr(f"sequence(0L, {SITE_DEAL - 1}L)")).alias("deal"))
+    joined = distinct.withColumn("deal", deal).join(copies, ["audit_id", "deal"])
     home, address = F.col("home_url"), F.col("address")
     own = F.col("own") | urls.same_origin(address, home) | urls.same_origin(
         F.regexp_replace(address, "^http:", "https:"), home)

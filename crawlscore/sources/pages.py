@@ -42,19 +42,16 @@ def _derived_document_columns(docs: DataFrame) -> DataFrame:
     ).drop("__scripts")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when there are fewer input partitions than cores.
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """Rows dealt out to `parts` partitions, or left where they are.
 
     A parse is far dearer than a shuffle of the text it reads, so a table of a few large files
-    must not keep the cluster idle. A table with enough partitions is left alone.
+    should not keep the cluster idle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores * 2)
+    return df if parts is None else df.repartition(parts)
 
 
-def page_docs(pages: DataFrame) -> DataFrame:
+def page_docs(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per HTML page: keys, headers, and everything its document says.
 
     The doctype and encoding tests read the raw text inside the JVM, before the text is
@@ -70,10 +67,10 @@ def page_docs(pages: DataFrame) -> DataFrame:
         ).alias("charset_in_head"),
         "text",
     )
-    return _derived_document_columns(html.extract(spread(prepared)))
+    return _derived_document_columns(html.extract(spread(prepared, parts)))
 
 
-def render_docs(renders: DataFrame) -> DataFrame:
+def render_docs(renders: DataFrame, parts: int | None = None) -> DataFrame:
     """The documents a browser saw, extracted like crawled ones: one homepage per site."""
     prepared = renders.select(
         "audit_id", F.col("url").alias("final_url"),
@@ -81,7 +78,7 @@ def render_docs(renders: DataFrame) -> DataFrame:
         F.lit(True).alias("has_doctype"), F.lit(True).alias("charset_in_head"),
         F.col("html").alias("text"),
     )
-    return _derived_document_columns(html.extract(spread(prepared)))
+    return _derived_document_columns(html.extract(spread(prepared, parts)))
 
 
 # --- bot-protection pages ------------------------------------------------------------------------

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlscore import fixed_values as fv
 from crawlscore.session import materialise
 from crawlscore.functions import robots
 from crawlscore.functions.text import strip

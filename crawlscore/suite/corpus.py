@@ -33,6 +33,8 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        #: The given tables are few files, so texts are dealt out before they are parsed.
+        self.parts = 2 * spark.sparkContext.defaultParallelism
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -57,11 +59,11 @@ class Corpus:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return materialise(pg.page_docs(self.pages), "page-docs")
+        return materialise(pg.page_docs(self.pages, self.parts), "page-docs")
 
     @cached_property
     def render_docs(self) -> DataFrame:
-        return materialise(pg.render_docs(self.derived("renders")), "render-docs")
+        return materialise(pg.render_docs(self.derived("renders"), self.parts), "render-docs")
 
     @cached_property
     def renders(self) -> DataFrame:
@@ -121,7 +123,7 @@ class Corpus:
     @cached_property
     def results(self) -> DataFrame:
         """All checks of all sites, written once for the report queries."""
-        return materialise(check_results(self.inputs), "check-results")
+        return materialise(check_results(self.inputs, stage=True), "check-results")
 
 
 STATUS_OF = (

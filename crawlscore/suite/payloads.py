@@ -36,7 +36,7 @@ def extract(c):
         names = ", ".join(f"'{t}'" for t in tags)
         return f"CAST(size(filter(elements, e -> e.tag IN ({names}))) AS BIGINT)"
 
-    return pg.page_docs(c.pages).selectExpr(
+    return pg.page_docs(c.pages, c.parts).selectExpr(
         "page_key.id AS page_id", f"{of('a')} AS links", f"{of('img')} AS images",
         f"{of('h1', 'h2', 'h3', 'h4', 'h5', 'h6')} AS headings", f"{of('meta')} AS metas",
         f"{of('input', 'select', 'textarea')} AS fields")

@@ -49,7 +49,7 @@ PAGE_ONLY = [
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Health and category scores of every site, from checks that need its pages alone."""
     tables = corpus(spark, sf_dir)
-    results = au.check_results(au.AuditInputs(docs=tables.docs), PAGE_ONLY)
+    results = au.check_results(au.AuditInputs(docs=tables.docs), PAGE_ONLY, stage=True)
     categories = sc.category_scores(results)
     return sc.health_scores(categories).join(sc.wide_scores(categories), "audit_id")
 

@@ -56,7 +56,9 @@ def over_rate_limit(checkups: DataFrame, limit: int = fv.RATE_LIMIT_PER_HOUR) ->
     """Starts whose visitor had already used up the limit in the hour before.
 
     Each start is put into its own hour and the next one, so an hour's window sees the whole
-    hour before each of its rows while a busy visitor's history is split by hours.
+    hour before each of its rows while a busy visitor's history is split by hours. The count is the
+    running total before the start less the one an hour earlier, which a marker row reads; so the
+    work is linear in the starts of an hour.
     """
     hour = 3600 * 1000000
     counted = "NOT (status = 'failed' AND started_at IS NULL)"
@@ -64,37 +66,41 @@ def over_rate_limit(checkups: DataFrame, limit: int = fv.RATE_LIMIT_PER_HOUR) ->
         "id", "ip_hash", "created_at", _ts().alias("at"),
         F.expr(f"CAST({counted} AS INT)").alias("counts"))
     slot = F.floor(F.col("at") / hour)
-    placed = starts.withColumn("own", slot).withColumn(
-        "slot", F.explode(F.array(slot, slot + 1)))
-    frame = Window.partitionBy("ip_hash", "slot").orderBy("at").rangeBetween(-hour, -1)
-    judged = placed.withColumn("in_last_hour", F.coalesce(F.sum("counts").over(frame), F.lit(0)))
-    return judged.where((F.col("own") == F.col("slot")) & (F.col("in_last_hour") >= limit)).select(
-        "id", "ip_hash", "created_at", "in_last_hour")
+    placed = starts.withColumn("own", slot).withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    events = placed.select("id", "ip_hash", "slot", "at", "counts", (F.col("own") == F.col("slot")).alias("asks"),
+                           F.lit(1).alias("sign"))
+    markers = events.where("asks").withColumns({
+        "at": F.col("at") - hour, "counts": F.lit(0), "sign": F.lit(-1)})
+    before = F.coalesce(F.sum("counts").over(Window.partitionBy("ip_hash", "slot").orderBy("at").rangeBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    totals = events.unionByName(markers).withColumn("total", before * F.col("sign")).where("asks")
+    judged = totals.groupBy("id").agg(F.sum("total").alias("in_last_hour")).where(F.col("in_last_hour") >= limit)
+    return starts.join(judged, "id").select("id", "ip_hash", "created_at", "in_last_hour")
 
 
 def active_over_time(checkups: DataFrame, cap: int = fv.QUEUE_CAP) -> DataFrame:
     """How many audits were waiting or running after each start or end.
 
-    Running totals per day start from the total of all earlier days; the days are summed
-    first, so only the small table of days is ordered as a whole.
+    Running totals are kept within a minute, the minutes within a day and the days among each other,
+    so no task sees more than a minute's steps, a day's minutes, or the small table of days.
     """
     begun = checkups.select(_ts().alias("at"), F.lit(1).alias("step"))
     ended = checkups.where("finished_at IS NOT NULL").select(
         _ts("finished_at").alias("at"), F.lit(-1).alias("step"))
     steps = begun.unionByName(ended).groupBy("at").agg(F.sum("step").alias("step"))
-    steps = steps.withColumn("hour", F.floor(F.col("at") / (3600 * 1000000)))
-    hours = steps.groupBy("hour").agg(F.sum("step").alias("total"))
-    days = hours.withColumn("day", F.floor(F.col("hour") / 24))
-    per_day = days.groupBy("day").agg(F.sum("total").alias("day_total"))
+    steps = steps.withColumn("minute", F.floor(F.col("at") / (60 * 1000000)))
+    minutes = steps.groupBy("minute").agg(F.sum("step").alias("total")).withColumn(
+        "day", F.floor(F.col("minute") / 1440))
+    per_day = minutes.groupBy("day").agg(F.sum("total").alias("day_total"))
     earlier_days = per_day.select("day", F.coalesce(F.sum("day_total").over(
         Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         .alias("base_day"))
-    earlier_hours = days.withColumn("in_day", F.coalesce(F.sum("total").over(
-        Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)),
+    earlier_minutes = minutes.withColumn("in_day", F.coalesce(F.sum("total").over(
+        Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).join(earlier_days, "day").select(
-        "hour", (F.col("in_day") + F.col("base_day")).alias("base"))
-    inside = F.sum("step").over(Window.partitionBy("hour").orderBy("at"))
-    running = steps.withColumn("inside", inside).join(earlier_hours, "hour")
+        "minute", (F.col("in_day") + F.col("base_day")).alias("base"))
+    inside = F.sum("step").over(Window.partitionBy("minute").orderBy("at"))
+    running = steps.withColumn("inside", inside).join(earlier_minutes, "minute")
     active = F.col("inside") + F.col("base")
     return running.select(
         F.timestamp_micros("at").alias("at"), active.alias("active"), (active >= cap).alias("busy"))

@@ -67,11 +67,12 @@ def stuck_audits(events: DataFrame, seconds: int = fv.AUDIT_TIMEOUT_SECONDS + fv
             state.remove()
             yield pd.DataFrame({"id": [key[0]], "started": [pd.Timestamp(started, unit="us")]})
             return
-        rows = pd.concat(list(frames))
-        started = int(rows["at"].min().value // 1000)
-        if state.exists:
-            started = min(started, state.get[0])
-        if rows["status"].isin(["done", "failed"]).any():
+        started, over = state.get[0] if state.exists else None, False
+        for rows in frames:  # one bounded batch after another
+            first = int(rows["at"].min().value // 1000)
+            started = first if started is None else min(started, first)
+            over = over or bool(rows["status"].isin(["done", "failed"]).any())
+        if over:
             if state.exists:
                 state.remove()
             return

@@ -10,17 +10,19 @@ from crawlscore.functions.text import safe_cell
 REPORT_DDL = (
     "audit_id string, health_score int, health_band string, categories array<struct<category:"
     "string,score:int,band:string,checks_run:bigint,checks_skipped:bigint,note:string>>, results "
-    "array<struct<check_id:string,status:string,score:double,note:string>>"
+    "array<struct<check_id:string,status:string,score:double,note:string,findings:array<struct<finding_ord:int,"
+    "code:string,severity:string,impact:string,effort:string,affected:bigint,message:string>>>>"
 )
 FINDING_BUCKETS = 64
 
 
 def reports(results: DataFrame, category_scores: DataFrame, health: DataFrame) -> DataFrame:
-    """One nested document per audit. The lists hold the categories and the checks of the
-    catalogue, so their length is fixed, whatever the size of the site."""
+    """One nested document per audit. The lists hold the categories, the checks of the catalogue and
+    what these found, so their length is fixed, whatever the size of the site."""
     checks = results.groupBy("audit_id").agg(F.expr(
-        "transform(array_sort(collect_list(struct(check_ord, check_id, status, score, note))), "
-        "r -> struct(r.check_id AS check_id, r.status AS status, r.score AS score, r.note AS note))"
+        "transform(array_sort(collect_list(struct(check_ord, check_id, status, score, note, findings))), "
+        "r -> struct(r.check_id AS check_id, r.status AS status, r.score AS score, r.note AS note, "
+        "r.findings AS findings))"
     ).alias("results"))
     categories = category_scores.groupBy("audit_id").agg(F.expr(
         "transform(array_sort(collect_list(struct(category_ord, category, score, band, checks_run, "
@@ -37,24 +39,36 @@ def write_reports(reports_df: DataFrame, path: str, day: str, format: str = "jso
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(format).save(path)
 
 
-def with_bucket(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("bucket", F.pmod(F.xxhash64("audit_id"), F.lit(FINDING_BUCKETS)))
+def findings_of(reports_df: DataFrame) -> DataFrame:
+    """The findings of stored reports as rows, in the order of their checks."""
+    checks = reports_df.selectExpr("audit_id", "posexplode(results) AS (check_ord, r)")
+    return checks.selectExpr("audit_id", "check_ord", "r.check_id", "split_part(r.check_id, '.', 1) AS category",
+                             "r.status", "inline(r.findings)")
 
 
-def replace_findings(findings: DataFrame, path: str) -> None:
+def with_bucket(findings: DataFrame, buckets: int = FINDING_BUCKETS) -> DataFrame:
+    return findings.withColumn("bucket", F.pmod(F.xxhash64("audit_id"), F.lit(buckets)))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def replace_findings(findings: DataFrame, path: str, buckets: int = FINDING_BUCKETS) -> None:
     """Replace all findings of the audits at hand; other audits keep theirs.
 
     Only the buckets that hold one of these audits are read and rewritten: the old rows of
     other audits in them are carried over by an anti join, then the partitions are swapped.
-    The new content is staged in a sibling table first, so no file is read while replaced.
+    The new content is staged in a sibling table first, so no file is read while replaced. `buckets` is
+    that of the first write; more of them make smaller rewrites.
     """
     spark = findings.sparkSession
-    fresh = with_bucket(findings)
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # the first write
+    fresh = with_bucket(findings, buckets)
+    if not _exists(spark, path):
         fresh.write.partitionBy("bucket").parquet(path)
         return
+    old = spark.read.parquet(path)
     audits = fresh.select("audit_id", "bucket").distinct()
     kept = old.join(audits.select("bucket").distinct(), "bucket", "left_semi").join(
         audits.select("audit_id"), "audit_id", "left_anti")

@@ -261,7 +261,7 @@ def report_documents(c):
     stored = sinks.read_reports(c.spark, folder)
     return stored.selectExpr(
         "audit_id", "health_score", "health_band", "size(categories) AS categories",
-        "size(results) AS results")
+        "size(results) AS results", "aggregate(results, 0L, (n, r) -> n + size(r.findings)) AS findings")
 
 
 @query("A22", dv.with_clause("finding_rows") + """ SELECT audit_id, count(*) AS findings, max(finding_ord) AS newest FROM finding_rows

@@ -109,10 +109,25 @@ def test_findings_are_replaced_per_audit(spark, tmp_path):
 
 
 def test_reports_survive_a_round_trip(spark, tmp_path):
-    table = results(spark, ("seo", 8, "ran", 1.0, "", False), ("agentic", 1, "skipped", None, "No.", False))
-    categories = sc.category_scores(table)
-    health = sc.health_scores(categories)
-    path = str(tmp_path / "reports")
-    sinks.write_reports(sinks.reports(table, categories, health), path, "2026-01-01")
-    [row] = sinks.read_reports(spark, path).collect()
-    assert row.health_score == 100 and len(row.categories) == 5 and len(row.results) == 2
+    """The stored findings are enough to compare two reports."""
+    kind = ("array<struct<finding_ord:int,code:string,severity:string,impact:string,effort:string,"
+            "affected:bigint,message:string>>")
+
+    def stored(day, *severities):
+        table = results(spark, ("seo", 8, "ran", 1.0, "", False), ("seo", 2, "ran", 0.5, "", False),
+                        ("agentic", 1, "skipped", None, "No.", False))
+        found = ", ".join(f"named_struct('finding_ord', {i}, 'code', 'c{i}', 'severity', '{s}', 'impact', 'low', "
+                          f"'effort', 'low', 'affected', {i}L, 'message', 'it''s \"{i}\"')" for i, s in enumerate(severities))
+        table = table.withColumn("findings", F.expr(f"CASE WHEN check_id = 'seo.c0' THEN array({found}) END").cast(kind))
+        categories = sc.category_scores(table)
+        path = str(tmp_path / "reports" / day)
+        sinks.write_reports(sinks.reports(table, categories, sc.health_scores(categories)), path, day)
+        return sinks.read_reports(spark, path)
+
+    [row] = stored("2026-01-01", "fail", "info").collect()
+    assert len(row.categories) == 5 and len(row.results) == 3 and row.health_score is not None
+    rows = sinks.findings_of(stored("2026-01-02", "fail", "info")).collect()
+    assert [(r.check_id, r.category, r.code, r.severity, r.affected, r.message) for r in rows] == [
+        ("seo.c0", "seo", "c0", "fail", 0, 'it\'s "0"'), ("seo.c0", "seo", "c1", "info", 1, 'it\'s "1"')]
+    worst = cp.problems_by_check(sinks.findings_of(stored("2026-01-03", "info", "warn"))).collect()
+    assert [(r.check_id, r.code) for r in worst] == [("seo.c0", "c1")]

@@ -4,8 +4,12 @@
    samples are also folded into a bitmap of parities (odd sketch), one flipped bit a sample.
 2. Equal sets are one class with the smallest id as node, so copies cost nothing further on.
 3. Every member of a bucket is compared with the bucket's smallest node, and the components of the
-   confirmed links are contracted. Buckets that lie in one component are done, which ends most large
-   groups of copies; in the others all members of different components are compared.
+   confirmed links are contracted. Buckets that lie in one component are done, which ends most groups
+   of copies. For the nodes of the others it is counted how many of their shingles no other such node
+   has. Nodes with too many of these can have no link; the rest are compared with the node of their
+   bucket that has fewest, and contracted again. Members that are still in different components are
+   compared pair by pair, by that count and by odd sketches of their whole sets, which rule out only
+   pairs that cannot be links.
 4. A pair is compared by the population count of the XOR of its sketches, then by its full sets.
 
 At the threshold of 0.8 a pair shares a band with probability 1 - (1 - 0.8^5)^48 = 1 - 5e-9; the sketch limit
@@ -34,6 +38,8 @@ SKETCH_BITS = 512
 SKETCH_LIMIT = 146
 #: Node lists of up to this many rows (16 bytes each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Places of the parities of whole sets, of which only nodes in open buckets have one.
+PARITY_BITS = 1024
 _CHUNK = 256
 
 
@@ -103,7 +109,15 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _PRINTS)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Odd sketch of a whole set: the parity of the number of hashes at each of PARITY_BITS places."""
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, parity, shingles) of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ragged.slices(batch, "text"):
@@ -111,20 +125,32 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 flat = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "shingles"])
+                    [part.column("node"), pa.array([len(x) for x in found], pa.int64()),
+                     _list_array(np.array([parities(x) for x in found])),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "n", "parity", "shingles"])
 
-    return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return texts.mapInArrow(run, "node bigint, n bigint, parity array<bigint>, shingles array<bigint>")
 
 
-def _xor_bits(left: str, right: str) -> Column:
-    words = [F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(SKETCH_BITS // 64)]
+def _xor_bits(left: str, right: str, bits: int) -> Column:
+    words = [F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(bits // 64)]
     return sum(words[1:], words[0])
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
     """Set sizes and sketches allow the similarity."""
     return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & (
-        _xor_bits(f"{a}.sketch", f"{b}.sketch") <= SKETCH_LIMIT)
+        _xor_bits(f"{a}.sketch", f"{b}.sketch", SKETCH_BITS) <= SKETCH_LIMIT)
+
+
+def _can_match(a: str, b: str, percent: int) -> Column:
+    """Parities of the whole sets allow the similarity; never false for a link.
+
+    Their XOR has no more bits than the sets differ in, and a link of similarity s allows
+    (|A| + |B|) (1 - s) / (1 + s) differences.
+    """
+    bits = _xor_bits(f"{a}.parity", f"{b}.parity", PARITY_BITS)
+    return bits * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
 
 class _Corpus:
@@ -149,20 +175,25 @@ class _Corpus:
         hubs = each.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
         return common.materialise(each.join(hubs.select("band", "hub"), "band"), "buckets")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough; sketches first."""
         sketches = self.nodes.select("node", "n", "sketch")
         a, b = sketches.alias("a"), sketches.alias("b")
         near = common.materialise(
             pairs.alias("p").join(a, F.col("p.a") == F.col("a.node")).join(b, F.col("p.b") == F.col("b.node"))
             .where(_may_match("a", "b", self.percent)).select("p.a", "p.b").distinct(), "near-pairs")
-        return self.confirmed(near)
+        if sets is None:
+            sets = self.sets(near.selectExpr("a AS node").union(near.selectExpr("b AS node")).distinct())
+        return self.confirmed(near, sets)
 
-    def confirmed(self, near: DataFrame) -> DataFrame:
-        asked = common.materialise(near.selectExpr("a AS node").union(near.selectExpr("b AS node")).distinct(), "asked")
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of the given nodes, read from their texts once more."""
+        asked = common.materialise(nodes, "asked")
         few = asked.count() <= BROADCAST_ROWS
         texts = self.texts.join(F.broadcast(asked) if few else asked, "node", "left_semi")
-        sets = common.materialise(_shingle_sets(texts, self.width).dropDuplicates(), "sets")
+        return common.materialise(_shingle_sets(texts, self.width).dropDuplicates(), "sets")
+
+    def confirmed(self, near: DataFrame, sets: DataFrame) -> DataFrame:
         both = (near.join(sets.selectExpr("node AS a", "shingles AS x"), "a")
                 .join(sets.selectExpr("node AS b", "shingles AS y"), "b"))
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"),
@@ -171,23 +202,53 @@ class _Corpus:
         return common.materialise(sure.select("a", "b").distinct(), "links")
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """Rows (band, node, label, ...) of the buckets that hold more than one component."""
+    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return placed.join(mixed.select("band"), "band")
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _with_own(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds `own`: how many shingles no other open node has (0 where a node has several sets).
+
+    A link cannot use these, so |A and B| <= min(|A| - own(A), |B| - own(B)) for open nodes A and B.
+    """
+    alone = (sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+             .agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1"))
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    several = sets.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").select("node")
+    return (open_.join(own.join(several, "node", "left_anti"), "node", "left")
+            .withColumn("own", F.coalesce("own", F.lit(0))))
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of `docs`."""
     corpus = _Corpus(docs, key, text, width, percent)
     members = corpus.members()
     stars = members.where("node <> hub").selectExpr("hub AS a", "node AS b").distinct()
-    first = corpus.links(stars).union(corpus.same_id)
-    labels = components(first)
-    placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_ = common.materialise(
-        placed.join(mixed.select("band"), "band").join(corpus.nodes.select("node", "n", "sketch"), "node"), "open-buckets")
-    a, b = open_.alias("a"), open_.alias("b")
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node"))
-                  & (F.col("a.label") != F.col("b.label")) & _may_match("a", "b", percent))
-    near = common.materialise(rest.selectExpr("a.node AS a", "b.node AS b").distinct()
-                              .join(stars, ["a", "b"], "left_anti"), "near-pairs")
-    labels = components(first.union(corpus.confirmed(near)))
+    links = corpus.links(stars).union(corpus.same_id)
+    # stars around the least changed node of each bucket that is still open
+    open_ = common.materialise(_open(_placed(members.select("band", "node"), components(links))), "open-buckets")
+    sets = corpus.sets(open_.select("node").distinct())
+    counted = _with_own(open_.join(sets.select("node", "n", "parity"), "node"), sets)
+    able = common.materialise(counted.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "able")
+    central = able.groupBy("band").agg(F.min(F.struct("own", "node", "label")).alias("hub"))
+    spokes = able.join(central, "band").where("label <> hub.label").selectExpr(
+        "least(node, hub.node) AS a", "greatest(node, hub.node) AS b").distinct()
+    links = links.union(corpus.links(spokes, sets))
+    # what is left: pairs of different components within a bucket
+    rest = common.materialise(_open(_placed(able.drop("label"), components(links))), "open-buckets")
+    a, b = rest.alias("a"), rest.alias("b")
+    shared = F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own"))
+    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") < F.col("b.node"))
+                  & (F.col("a.label") != F.col("b.label")) & _can_match("a", "b", percent)
+                  & (100 * shared >= percent * (F.col("a.n") + F.col("b.n") - shared)))
+    near = common.materialise(near.selectExpr("a.node AS a", "b.node AS b").distinct(), "near-pairs")
+    labels = components(links.union(corpus.confirmed(near, sets)))
     groups = (corpus.classes.join(labels, "node", "left")
               .select("n", "d1", "d2", F.coalesce("label", "node").alias("component_id")))
     rows = corpus.prints.select("key", "n", "d1", "d2").join(groups, ["n", "d1", "d2"], "left")
@@ -199,17 +260,44 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents with one of each group left, by its own columns; of repeated rows one stays.
 
-    Only rows that share an id meet in a shuffle with their texts.
+    Only rows that share an id meet in a shuffle with their texts. The ids to leave out are broadcast
+    up to BROADCAST_ROWS; beyond that Spark joins them as it sees fit.
     """
-    found = common.materialise(linked(docs, key, **options).select("key", "kept"), "kept")
-    own = docs.where(F.col(f"`{key}`").isNotNull())
-    good = found.where("kept AND key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
-    once, again = (good.where(c).select(F.col("key").alias(key)) for c in ("n = 1", "n > 1"))
-    return (own.join(once, key, "left_semi").unionByName(own.join(again, key, "left_semi").dropDuplicates([key]))
-            .unionByName(docs.where(F.col(f"`{key}`").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = linked(docs, key, **options).where("key IS NOT NULL").groupBy("key").agg(
+        F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    out = common.materialise(found.where("NOT kept OR n > 1"), "left-out")
+    few = out.count() <= BROADCAST_ROWS
+
+    def keys(condition: str) -> DataFrame:
+        chosen = out.where(condition).select(F.col("key").alias(key))
+        return F.broadcast(chosen) if few else chosen
+
+    once = docs.join(keys("true"), key, "left_anti")
+    again = docs.join(keys("kept"), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents on 4-word shingles at a similarity of 0.8."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return linked(docs, width=4).withColumnRenamed("key", "doc_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS x
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+r AS (SELECT doc_id AS i, doc_id AS j FROM n UNION SELECT r.i, l.b FROM r JOIN l ON l.a = r.j),
+m AS (SELECT i, min(j) AS first FROM r GROUP BY i)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.first, d.doc_id) AS component_id,
+       coalesce(m.first, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.i = d.doc_id
+"""

@@ -106,15 +106,18 @@ def probability(odds: Column) -> Column:
 def fit(features: DataFrame, labels: DataFrame, key: str, label: str, rows: int = FIT_ROWS) -> Evidence:
     """The bins' weights from the labelled documents; `features` has key and bins.
 
-    Weights come from a bounded sample, the `rows` documents with the smallest hash of their key,
-    which is fitted on the driver by Newton steps; the prior comes from all labelled documents.
+    Weights come from a bounded sample, about `rows` documents chosen by the hash of their key (twice as
+    many at most), which is fitted on the driver by Newton steps; the prior comes from all labelled ones.
     """
     means = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(
         F.col(f"`{key}`").alias("key")).agg(F.avg(F.col(f"`{label}`").cast("double")).alias("good"))
     known = features.join(means, "key").select("key", "good", "bins")
     good, n = known.agg(F.sum(F.round(F.col("good") * UNIT).cast("bigint")), F.count("*")).head()
     prior = ((good or 0) / UNIT + 1) / (n + 2)
-    sample = known.orderBy(F.xxhash64("key"), "key", "bins").limit(rows).toPandas()
+    steps = 1_000_000
+    chosen = F.pmod(F.xxhash64("key"), F.lit(steps)) < int(steps * min(1.0, rows / max(n, 1)))
+    sample = known.where(chosen).dropDuplicates(["key", "bins"]).limit(2 * rows).toPandas()
+    sample = sample.assign(order=sample["bins"].map(tuple)).sort_values(["key", "order"])
     sizes = [len(edges) + 1 for edges in EDGES.values()]
     starts = np.concatenate(([0], np.cumsum(sizes)))
     weights = np.zeros(starts[-1])

@@ -32,7 +32,7 @@ from crawlscore.llm import common, ragged
 
 SPACE = "▁"
 #: Units a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 _ODD_SPACING = f"^$|  |^ | $|{SPACE}"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from crawlscore.llm import (
-    mixing, near_dedup, pieces, quality_classifier, quality_rules, threshold_search, token_files, url_filters, warc_zip,
+    html_text, mixing, near_dedup, pieces, quality_classifier, quality_rules, threshold_search, token_files, url_filters, warc_zip,
 )
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_token_files": token_files.op2_token_files,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_pieces": pieces.op4_pieces,
+    "op5_html_text": html_text.op5_html_text,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_threshold_search": threshold_search.op8_threshold_search,
@@ -19,7 +20,9 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op3_near_dedup": near_dedup.ORACLE,
     "op7_url_filters": url_filters.ORACLE,
     "op8_threshold_search": threshold_search.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op10_warc_zip": warc_zip.ORACLE,
 }

@@ -5,8 +5,8 @@ could have, as deep as the deepest rule; expressions meet rules in an equi-join
 of their digests; the full digest confirms, and the longest rule wins.
 
 Defined results: a url that is null or has no '://' has an empty host and path, which no rule fits.
-Repeated rows are judged alike. Rules are one row per (host, path); of equal rules the verdict
-'allow' wins. Extra columns of the pages are kept, whatever their names.
+Repeated rows are judged alike. Of equally long rules that differ the last by code point wins, of equal
+ones the verdict 'allow'. Extra columns of the pages are kept, whatever their names.
 """
 
 from __future__ import annotations

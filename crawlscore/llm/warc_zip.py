@@ -266,3 +266,19 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "packages")
     found = read(spark, folder, write(pages, folder), payloads=False)
     return found.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Five hexadecimal digits make four of base 32.
+ORACLE = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(hex, CAST(k // 4 * 5 + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - k % 4 * 5 AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '')
+         AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p
+"""

@@ -33,6 +33,8 @@ from crawlscore.llm import common, ragged
 SPACE = "▁"
 #: Units a worker remembers in each of two generations.
 REMEMBERED = 100_000
+#: Bytes of text handled at a time.
+SLICE_BYTES = 2 << 20
 _ODD_SPACING = f"^$|  |^ | $|{SPACE}"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -242,38 +244,53 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encoded(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(key, ids) for each row: begin id, pieces, end id, as little-endian unsigned 32-bit integers."""
+def _framed(vocabulary: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with begin and end ids, and where each text begins."""
+    ids, bounds = vocabulary.encode(texts)
+    n = len(bounds) - 1
+    framed = np.empty(len(ids) + 2 * n, "<u4")
+    starts = bounds + 2 * np.arange(n + 1)
+    inside = np.ones(len(framed), bool)
+    inside[starts[:-1]] = inside[starts[1:] - 1] = False
+    framed[inside] = ids
+    framed[starts[:-1]], framed[starts[1:] - 1] = vocabulary.bos, vocabulary.eos
+    return framed, starts
+
+
+def encoded(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None,
+            decode: bool = False) -> DataFrame:
+    """(key, ids) for each row: begin id, pieces, end id, as little-endian unsigned 32-bit integers.
+
+    With `decode` also `decoded`, the text of these ids, made by the same worker, so that a task keeps
+    one vocabulary in memory instead of two.
+    """
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
         for batch in batches:
-            for part in ragged.slices(batch, "text"):
-                ids, bounds = vocabulary.encode(part.column("text"))
-                n = len(bounds) - 1
-                framed = np.empty(len(ids) + 2 * n, "<u4")
-                starts = bounds + 2 * np.arange(n + 1)
-                inside = np.ones(len(framed), bool)
-                inside[starts[:-1]] = inside[starts[1:] - 1] = False
-                framed[inside] = ids
-                framed[starts[:-1]], framed[starts[1:] - 1] = vocabulary.bos, vocabulary.eos
+            for part in ragged.slices(batch, "text", SLICE_BYTES):
+                framed, starts = _framed(vocabulary, part.column("text"))
                 column = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), n, [None, pa.py_buffer((starts * 4).astype(np.int64)), pa.py_buffer(framed)])
-                yield pa.RecordBatch.from_arrays([part.column("key"), column.cast(pa.binary())], names=["key", "ids"])
+                    pa.large_binary(), part.num_rows, [None, pa.py_buffer((starts * 4).astype(np.int64)), pa.py_buffer(framed)])
+                out = {"key": part.column("key"), "ids": column.cast(pa.binary())}
+                if decode:
+                    out["decoded"] = pa.array(vocabulary.decode(framed.astype(np.int64), starts), pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(run, f"key {own.schema['key'].dataType.simpleString()}, ids binary")
+    kind = own.schema["key"].dataType.simpleString()
+    return own.mapInArrow(run, f"key {kind}, ids binary" + ", decoded string" * decode)
 
 
 def decoded(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds `decoded`, the text of the `ids` of `encoded`."""
+    """Adds `decoded`, the text of the `ids` of `encoded`, where these were stored."""
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(path)
         for batch in batches:
-            for part in ragged.slices(batch, "ids"):
+            for part in ragged.slices(batch, "ids", SLICE_BYTES):
                 rows = part.column("ids").to_pylist()
                 ids = np.frombuffer(b"".join(rows), "<u4").astype(np.int64)
                 bounds = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int64)
@@ -285,7 +302,7 @@ def decoded(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Per row: the number of ids, and the SHA-256 of the ids and of the text decoded from them."""
-    return decoded(encoded(docs, text, key, path), path).select(
+    return encoded(docs, text, key, path, decode=True).select(
         F.col("key").alias(key), (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 

@@ -50,6 +50,8 @@ def test_pieces_query_columns(spark):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     assert pieces.digests(docs.limit(0)).count() == 0
+    stored = pieces.decoded(pieces.encoded(docs)).select("key", "ids", "decoded")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, pieces.encoded(docs, decode=True).collect()))
 
 
 def test_words_equal_whole_texts():

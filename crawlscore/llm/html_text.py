@@ -2,7 +2,10 @@
 
 A tokenizer feeds a tree builder, which supplies the tags that HTML implies (ends of paragraphs, list items,
 cells and options, missing rows) and ignores ends that match nothing. Elements that are hidden by kind, by
-attribute or by inline style give no text. What is left is laid out: white space collapses, blocks start new
+attribute or by inline style give no text. Inside svg and math a start tag that ends in '/' has no content, and
+HTML blocks end the drawing, as in browsers. Of drawings the text elements and embedded HTML (foreignObject)
+give text, not titles, descriptions, definitions and metadata (copies by use are not followed); of formulas
+all but annotations. What is left is laid out: white space collapses, blocks start new
 lines, paragraphs and the like keep a blank line, list items get their mark and indent, preformatted text
 stays, and the cells of a table stand in columns of equal width.
 
@@ -30,13 +33,27 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_BARE_SLASH = re.compile(r"=\s*(?:[^\s\"']\S*)?/$")  # the '/' belongs to a value without quotes
 _STYLE = re.compile(r"(display|visibility|white-space)\s*:\s*([a-z-]+)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Text up to the end tag, without tags inside.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas "
-                   "object svg math rp".split())
+                   "object rp".split())
+#: Elements of drawings and formulas that are not shown themselves.
+UNDRAWN = {
+    "svg": frozenset("title desc defs metadata style script symbol clippath mask pattern marker filter lineargradient "
+                     "radialgradient".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+#: Elements of drawings and formulas that hold HTML.
+POINTS = {"svg": frozenset("foreignobject title desc".split()), "math": frozenset("mi mo mn ms mtext".split())}
+#: HTML start tags that end a drawing or formula.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Blank lines before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu fieldset".split())
 BLOCKS = SPACED | frozenset(
@@ -69,6 +86,10 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _self_closing(raw: str) -> bool:
+    return raw.endswith("/") and not _BARE_SLASH.search(_QUOTED.sub('""', raw))
+
+
 class Flow:
     """Lines being laid out, with collapsed white space and at most one blank line between blocks."""
 
@@ -88,6 +109,12 @@ class Flow:
             self.line.append(text)
             self.open_space = text[-1] == " "
 
+    def apart(self) -> None:
+        """What follows stands elsewhere on the page, so it is another word."""
+        if self.line and not self.open_space:
+            self.line.append(" ")
+            self.open_space = True
+
     def end_line(self, gap: int = 0) -> None:
         """End the line if it holds text; ask for `gap` blank lines before the next."""
         if self.line:
@@ -171,13 +198,16 @@ class Table:
 class Open:
     """An open element."""
 
-    __slots__ = ("tag", "hidden", "unseen", "pre", "flow", "table", "mark", "count", "span")
+    __slots__ = ("tag", "hidden", "unseen", "pre", "flow", "table", "mark", "count", "span", "space", "mute", "point")
 
     def __init__(self, tag: str):
         self.tag, self.hidden, self.unseen, self.pre = tag, False, False, False
         self.flow: Flow | None = None  # of its own, put into the parent's when it ends
         self.table: Table | None = None
         self.mark, self.count, self.span = "", 0, (1, 1)
+        self.space = ""  # svg or math
+        self.mute = False  # in a drawing, but in none of its text elements
+        self.point = False  # of a drawing or formula, with HTML inside
 
 
 def _number(text: str | None, default: int) -> int:
@@ -197,10 +227,12 @@ class Page:
 
     # --- tree ---
 
-    def _push(self, tag: str, attributes: dict[str, str]) -> None:
+    def _push(self, tag: str, attributes: dict[str, str], space: str = "") -> None:
         above, node = self.stack[-1], Open(tag)
-        node.hidden = above.hidden or tag in HIDDEN or "hidden" in attributes
-        node.unseen, node.pre = above.unseen, above.pre or tag in ("pre", "textarea", "xmp")
+        node.hidden = above.hidden or tag in (UNDRAWN[space] if space else HIDDEN) or "hidden" in attributes
+        node.unseen, node.pre = above.unseen, above.pre or (not space and tag in ("pre", "textarea", "xmp"))
+        if space:
+            self._draw(node, above, attributes, space)
         if above.tag == "details" and above.span == (0, 0) and tag != "summary":
             node.hidden = True
         if "style" in attributes:
@@ -219,6 +251,10 @@ class Page:
         self.count[tag] = self.count.get(tag, 0) + 1
         if node.hidden:
             return
+        if space:
+            if self._stands_apart(node, above, attributes):
+                self.flows[-1].apart()
+            return
         if tag in BLOCKS:
             nested_list = tag in ("ul", "ol", "menu") and self.count.get("li", 0)
             self.flows[-1].end_line(1 if tag in SPACED and not nested_list else 0)
@@ -248,6 +284,30 @@ class Page:
             node.flow = Flow()
             self.flows.append(node.flow)
 
+    def _draw(self, node: Open, above: Open, attributes: dict[str, str], space: str) -> None:
+        """What holds for elements of drawings and formulas."""
+        tag = node.tag
+        node.space, node.point = space, tag in POINTS[space]
+        if space == "svg":
+            node.mute = tag != "text" and tag != "foreignobject" and (above.space != "svg" or above.mute)
+            node.hidden = node.hidden or attributes.get("display") == "none"
+            if "visibility" in attributes:
+                node.unseen = attributes["visibility"] in ("hidden", "collapse")
+            if above.tag == "switch" and above.space and "systemlanguage" not in attributes:
+                node.hidden = node.hidden or above.count > 0  # the first that fits is shown
+                above.count += 1
+        elif tag == "mphantom":
+            node.unseen = True
+        elif tag == "annotation-xml":
+            node.point = attributes.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
+
+    @staticmethod
+    def _stands_apart(node: Open, above: Open, attributes: dict[str, str]) -> bool:
+        if node.space == "svg":
+            return node.tag in ("text", "foreignobject") or (
+                node.tag == "tspan" and not attributes.keys().isdisjoint(("x", "y", "dy")))
+        return node.tag in ("mtd", "mfrac") or (above.tag == "mfrac" and bool(above.space))
+
     def _table(self) -> Table | None:
         return next((n.table for n in reversed(self.stack) if n.table is not None), None)
 
@@ -256,6 +316,10 @@ class Page:
         self.count[node.tag] -= 1
         if node.hidden:
             return
+        if node.space:
+            if node.tag in ("text", "foreignobject", "mfrac"):
+                self.flows[-1].apart()
+            return
         tag = node.tag
         lines = None
         if node.flow is not None:
@@ -283,6 +347,10 @@ class Page:
         last = None
         for k in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[k].tag
+            if self.stack[k].point:
+                break
+            if self.stack[k].space:
+                continue
             if tag in tags:
                 last = k
             elif tag in bounds:
@@ -292,6 +360,14 @@ class Page:
                 self._pop()
 
     def start(self, tag: str, raw: str) -> None:
+        above = self.stack[-1]
+        if above.space and not above.point or above.space == "math" and tag in ("mglyph", "malignmark"):
+            attributes = _attributes(raw) if "=" in raw else {}
+            if tag in BREAKOUT or (tag == "font" and not attributes.keys().isdisjoint(("color", "face", "size"))):
+                self._leave_drawing()
+            else:
+                self._foreign(tag, raw, above.space)
+                return
         if tag in ("html", "body") and self.count.get(tag):
             return
         if tag == "body" and self.count.get("head"):
@@ -304,12 +380,24 @@ class Page:
             self._close(*IMPLIED[tag])
         if tag in ("td", "th") and self.count.get("table"):
             self._need_row()
+        if tag in POINTS:
+            self._foreign(tag, raw, tag)
+            return
         attributes = _attributes(raw) if "=" in raw or raw.strip(" /") else {}
         if tag in VOID:
             self._void(tag, attributes)
         else:
             self._push(tag, attributes)
 
+    def _foreign(self, tag: str, raw: str, space: str) -> None:
+        self._push(tag, _attributes(raw) if raw.strip(" /") else {}, space)
+        if _self_closing(raw):
+            self._pop()
+
+    def _leave_drawing(self) -> None:
+        while self.stack[-1].space and not self.stack[-1].point:
+            self._pop()
+
     def _need_row(self) -> None:
         for node in reversed(self.stack):
             if node.tag == "tr":
@@ -333,11 +421,26 @@ class Page:
             flow.text(attributes.get("value", ""))
 
     def end(self, tag: str) -> None:
+        if self.stack[-1].space:
+            if tag in ("br", "p"):
+                self._leave_drawing()
+            elif self.count.get(tag):
+                k = len(self.stack) - 1
+                while self.stack[k].space:
+                    if self.stack[k].tag == tag:
+                        while len(self.stack) > k:
+                            self._pop()
+                        return
+                    k -= 1
         if tag == "br":
             self._void("br", {})
         elif self.count.get(tag):
             own = frozenset({tag})
             for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].space:
+                    if self.stack[k].point:
+                        return
+                    continue
                 if self.stack[k].tag in own:
                     while len(self.stack) > k:
                         self._pop()
@@ -345,13 +448,17 @@ class Page:
                 if self.stack[k].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
                     return
 
-    def text(self, text: str) -> None:
+    def text(self, text: str, literal: bool = False) -> None:
         if self.stack[-1].tag == "head" and text.strip():
             self._pop()  # text ends a head that was left open
         node = self.stack[-1]
         if node.hidden or node.unseen or (node.tag == "details" and node.span == (0, 0)):
             return
-        if "&" in text:
+        if node.mute:
+            return
+        if node.space == "math" and not node.point and not (text := text.strip(" \t\n\f\r")):
+            return
+        if "&" in text and not literal:
             text = html.unescape(text)
         if node.pre:
             flow = self.flows[-1]
@@ -388,6 +495,11 @@ def render(markup: str | None) -> str:
             stop = source.find("-->", less + 4)
             at = size if stop < 0 else stop + 3
             continue
+        if page.stack[-1].space and source.startswith("<![CDATA[", less):
+            stop = source.find("]]>", less + 9)
+            page.text(source[less + 9:size if stop < 0 else stop], literal=True)
+            at = size if stop < 0 else stop + 3
+            continue
         found = _TAG.match(source, less)
         if found is None:
             after = source[less + 1:less + 2]
@@ -410,7 +522,7 @@ def render(markup: str | None) -> str:
         page.start(tag, raw)
         if tag in ("pre", "textarea") and source.startswith("\n", at):
             at += 1  # a line break right after the start tag does not count
-        if tag in RAW:
+        if tag in RAW and not page.stack[-1].space:
             lower = source.lower() if lower is None else lower
             stop = lower.find("</" + tag, at) if len(lower) == size else source.find("</" + tag, at)
             stop = size if stop < 0 else stop

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +49,62 @@ def daily_mails(mails: DataFrame, late: str = "1 hour") -> DataFrame:
         F.col("window.start").alias("day"), "checkup_id", "sent")
 
 
-def accepted_requests(requests: DataFrame, hours: int = fv.REUSE_HOURS) -> DataFrame:
-    """One accepted audit per address within the reuse time."""
-    return requests.withWatermark("requested_at", f"{hours} hours").dropDuplicatesWithinWatermark(
-        ["url"])
+def decided_requests(requests: DataFrame, audits: DataFrame, hours: int = fv.REUSE_HOURS,
+                     late: str = "1 hour") -> DataFrame:
+    """Every request, and whether it starts an audit: not if its address has a finished one that is young enough.
+
+    `requests` has id, url, requested_at; `audits`, the finished ones, url and created_at, from which the
+    reuse time counts (audits still running are another rule). A request is decided when it arrives, by its own time
+    and all audits that have arrived. State: the times an address is covered, as (first, last) audit of each run
+    of audits no more than the reuse time apart; those that the watermark has passed are forgotten.
+    """
+    reuse = hours * 3600 * 1_000_000
+    events = requests.select("url", "id", F.col("requested_at").alias("at"), F.lit(False).alias("finished")).unionByName(
+        audits.select("url", F.lit(None).cast("bigint").alias("id"), F.col("created_at").alias("at"),
+                      F.lit(True).alias("finished")))
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() * 1000
+        spans = list(zip(*state.get)) if state.exists else []
+        asked: list[pd.DataFrame] = []
+        if not state.hasTimedOut:
+            for rows in frames:  # one bounded batch after another; all audits count before the first decision
+                done = rows["finished"]
+                spans = merged_spans([*spans, *((t, t) for t in rows.loc[done, "us"].tolist())], reuse)
+                if not done.all():
+                    asked.append(rows.loc[~done, ["id", "us"]])
+        spans_kept = [x for x in spans if x[1] + reuse >= passed]
+        if spans_kept:
+            state.update(([x[0] for x in spans_kept], [x[1] for x in spans_kept]))
+            state.setTimeoutTimestamp(max((spans_kept[-1][1] + reuse) // 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
+        for rows in asked:
+            refused = np.zeros(len(rows), dtype=bool)
+            for first, last in spans:
+                refused |= ((rows["us"] >= first) & (rows["us"] <= last + reuse)).to_numpy()
+            yield pd.DataFrame({"id": rows["id"].astype("int64"), "url": key[0], "accepted": ~refused})
+
+    return events.withWatermark("at", late).withColumn("us", F.unix_micros("at")).groupBy("url").applyInPandasWithState(
+        run, "id bigint, url string, accepted boolean", "first array<bigint>, last array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout)
+
+
+def merged_spans(spans: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """Sorted (first, last) spans; those no more than `reach` apart become one."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first - out[-1][1] <= reach:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+def accepted_requests(requests: DataFrame, audits: DataFrame, hours: int = fv.REUSE_HOURS,
+                      late: str = "1 hour") -> DataFrame:
+    """The requests that start an audit."""
+    return decided_requests(requests, audits, hours, late).where("accepted").drop("accepted")
 
 
 def stuck_audits(events: DataFrame, seconds: int = fv.AUDIT_TIMEOUT_SECONDS + fv.STUCK_GRACE_SECONDS,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,10 @@ def _stream(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(folder)
 
 
-def _drain(stream: DataFrame, mode: str) -> DataFrame:
+def _drain(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     """Run a stream over what is there, and return what it emitted."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
 
     emitted = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
 
@@ -42,6 +43,19 @@ def _drain(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(emitted).parquet(folder)
 
 
+def _replayed(df: DataFrame, at: str, build: Callable[[DataFrame], DataFrame], mode: str, batches: int = 3) -> DataFrame:
+    """Let a table arrive in equal spans of time, one after another, and return what the stream emitted."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    first, last = df.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).head()
+    width = ((last or 0) - (first or 0)) // batches + 1
+    number = F.floor((F.unix_micros(at) - F.lit(first or 0)) / width)
+    for k in range(batches):
+        df.where(number == k).write.mode("append").parquet(folder)
+        emitted = _drain(build(spark.readStream.schema(df.schema).parquet(folder)), mode, f"{folder}-drained")
+    return emitted
+
+
 @query("K1", page_cte() + f" SELECT page_id, {first('html', '<title>([^<]*)</title>')} AS title, len(regexp_extract_all(html, '<h1>'))::INT AS h1_count FROM op")
 def features(c):
     stream = alerts.page_features(_stream(c.pages), ["title", "h1_count"])
@@ -57,9 +71,30 @@ def rates(c):
 
 
 @query("K3", dv.with_clause("requests") + " SELECT DISTINCT url FROM requests")
+def decided(c):
+    """The addresses of all decided requests; K3_accepted has the decisions."""
+    return _decisions(c).select("url").distinct()
+
+
+@query("K3_accepted", dv.with_clause("checkups", "requests") + """ SELECT r.id FROM requests r ASOF LEFT JOIN (SELECT * FROM checkups WHERE status = 'done') c
+  ON c.url = r.url AND c.created_at <= r.requested_at WHERE c.id IS NULL OR c.created_at < r.requested_at - INTERVAL '24' HOUR""")
 def accepted(c):
-    rows = c.derived("requests").select("id", "url", F.col("requested_at").cast("timestamp"))
-    return _drain(alerts.accepted_requests(_stream(rows)), "append").select("url").distinct()
+    return _decisions(c).where("accepted").select("id")
+
+
+def _decisions(c) -> DataFrame:
+    """Requests and finished audits arrive together, in order of time and in several batches."""
+    at = F.col("requested_at").cast("timestamp")
+    rows = c.derived("requests").select("id", "url", at.alias("at"), F.lit(False).alias("finished"))
+    done = c.derived("checkups").where("status = 'done'").select(
+        "id", "url", F.col("created_at").cast("timestamp").alias("at"), F.lit(True).alias("finished"))
+
+    def decide(events: DataFrame) -> DataFrame:
+        return alerts.decided_requests(
+            events.where("NOT finished").withColumnRenamed("at", "requested_at"),
+            events.where("finished").withColumnRenamed("at", "created_at"))
+
+    return _replayed(rows.unionByName(done), "at", decide, "append")
 
 
 @query("K4", CHECKUPS + " SELECT id FROM checkups WHERE finished_at IS NULL AND created_at < (SELECT max(created_at) FROM checkups) - INTERVAL '400' SECOND")

@@ -273,5 +273,6 @@ def shot(element: str, page_url: str) -> str:
     )
 
 
-def shots(matches: str, page_url: str, limit: int = 3) -> str:
-    return f"transform(slice({matches}, 1, {limit}), e -> {shot('e', page_url)})"
+def shots(matches: str, page_url: str, limit: int | None = None) -> str:
+    few = matches if limit is None else f"slice({matches}, 1, {limit})"
+    return f"transform({few}, e -> {shot('e', page_url)})"

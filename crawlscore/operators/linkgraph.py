@@ -158,16 +158,22 @@ def images_to_check(edges: DataFrame, limit: int | None = None) -> DataFrame:
     return _first(_first_places(edges), limit, "at")
 
 
+def broken_pages(statuses: DataFrame, edges: DataFrame, broken: str) -> DataFrame:
+    """All pages on which a broken address stands, one row per address and page."""
+    bad = statuses.where(broken).select("audit_id", F.col("url").alias("link"))
+    return edges.join(bad, ["audit_id", "link"], "left_semi").select(
+        "audit_id", "link", "page_key", "final_url")
+
+
 def broken_breakdown(statuses: DataFrame, edges: DataFrame, broken: str,
-                     pages_shown: int = 5, listed: int | None = None) -> DataFrame:
+                     pages_shown: int, listed: int | None = None) -> DataFrame:
     """Broken addresses with their answer, the first pages they stand on, and how many more.
 
-    The text names `pages_shown` pages, which a window limit keeps; the exact number of pages is
-    counted apart, and every broken address is listed.
+    Only the text stops at `pages_shown` pages, which a window limit keeps; the exact number of pages is
+    counted apart, every broken address is listed, and `broken_pages` has all pages as rows.
     """
     bad = statuses.where(broken).select("audit_id", F.col("url").alias("link"), "status_code")
-    hits = edges.join(bad.select("audit_id", "link"), ["audit_id", "link"], "left_semi").select(
-        "audit_id", "link", "page_key", "final_url")
+    hits = broken_pages(statuses, edges, broken)
     counts = hits.groupBy("audit_id", "link").agg(F.count("*").alias("on_pages"))
     order = Window.partitionBy("audit_id", "link").orderBy("page_key")
     few = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pages_shown)

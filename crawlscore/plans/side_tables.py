@@ -43,6 +43,11 @@ def render_table(renders: DataFrame) -> DataFrame:
     )
 
 
+def script_errors(renders: DataFrame) -> DataFrame:
+    """All distinct script errors of a site in full, one row each; the finding's text names the first few."""
+    return renders.select("audit_id", F.explode("console_errors").alias("error")).distinct()
+
+
 def cookies_table(cookies: DataFrame) -> DataFrame:
     distinct = cookies.where("third_party").select("audit_id", "domain").distinct()
     return distinct.groupBy("audit_id").agg(F.count("*").alias("third_party_domains"))

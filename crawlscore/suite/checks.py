@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from crawlscore import fixed_values as fv
 from crawlscore.plans.audit import check_results
+from crawlscore.plans.side_tables import script_errors
+from crawlscore.sources import derived as dv
 from crawlscore.suite.corpus import STATUS_OF, query
 from crawlscore.suite.oracle_pages import (
     check_sql, count, decoded, first, origin, page_cte, share,
@@ -562,3 +564,8 @@ def _register(number: int, check_id: str) -> None:
 
 for _number, _check_id in enumerate(CHECK_IDS, start=1):
     _register(_number, _check_id)
+
+
+@query("E34_errors", dv.with_clause("renders") + """ SELECT DISTINCT audit_id, unnest(string_split(console_errors, '|')) AS error FROM renders WHERE console_errors <> ''""")
+def errors(c):
+    return script_errors(c.renders)

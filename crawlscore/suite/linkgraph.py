@@ -111,10 +111,17 @@ SELECT b.audit_id, b.url AS link, CASE WHEN status_code = 0 THEN 'can''t be reac
   greatest(coalesce(max(k), 0) - 5, 0) AS more_pages FROM bad b LEFT JOIN spots s ON s.audit_id = b.audit_id AND s.link = b.url GROUP BY b.audit_id, b.url, status_code""")
 def breakdown(c):
     own = c.url_status.where("kind = 'internal'").drop("kind")
-    return lg.broken_breakdown(own, lg.internal_edges(c.docs, c.homes), INTERNAL_BROKEN).selectExpr(
+    return lg.broken_breakdown(own, lg.internal_edges(c.docs, c.homes), INTERNAL_BROKEN, pages_shown=5).selectExpr(
         "audit_id", "link", "answer", "on_pages", "pages", "CAST(more_pages AS BIGINT) AS more_pages")
 
 
+@query("D9_pages", _EDGES + f""" SELECT audit_id, link, final_url FROM (SELECT DISTINCT l.audit_id, c.link, l.final_url, l.pos FROM cut_links c JOIN op l USING (audit_id, pos)) AS d
+  WHERE (audit_id, link) IN (SELECT (audit_id, url) FROM url_status WHERE kind = 'internal' AND {INTERNAL_BROKEN})""")
+def broken_pages(c):
+    own = c.url_status.where("kind = 'internal'").drop("kind")
+    return lg.broken_pages(own, lg.internal_edges(c.docs, c.homes), INTERNAL_BROKEN).drop("page_key")
+
+
 _BLOCKED = "(s.s6 >= 3 AND s.s7 >= 1 AND s.s8 NOT IN (8, 9))"
 _PATH = "regexp_extract(s.home_url, '^https?://[^/?#]+(.*)$', 1)"
 

@@ -372,9 +372,19 @@ def descriptions(c):
 @query("C6", page_cte() + """ SELECT page_id, h.i AS shot_ord, 'body > nav > ul > li' || CASE WHEN n = 1 THEN '' ELSE concat(':nth-of-type(', h.i, ')') END || ' > a' AS selector
   FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM op) AS x, LATERAL (SELECT unnest(range(1, least(n, 3) + 1)) AS i) AS h""")
 def shots(c):
-    found = el.shots(el.tagged("elements", "a"), "final_url")
+    return _shots(c, limit=3).drop("href")
+
+
+@query("C6_all", page_cte() + """ SELECT page_id, i AS shot_ord, replace(hrefs[i], '&amp;', '&') AS href
+  FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM op) AS x, LATERAL (SELECT unnest(range(1, len(hrefs) + 1)) AS i) AS h""")
+def all_shots(c):
+    return _shots(c).drop("selector")
+
+
+def _shots(c, limit=None):
+    found = el.shots(el.tagged("elements", "a"), "final_url", limit)
     rows = c.docs.selectExpr("page_key.id AS page_id", f"posexplode({found}) AS (i, s)")
-    return rows.selectExpr("page_id", "CAST(i + 1 AS BIGINT) AS shot_ord", "s.selector")
+    return rows.selectExpr("page_id", "CAST(i + 1 AS BIGINT) AS shot_ord", "s.selector", "s.match_value AS href")
 
 
 _TEXT = ("replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?<body>', ''), '(?s)<script.*?</script>|<!--.*?-->', '', 'g'), "

@@ -36,6 +36,8 @@ ROWS, BANDS = 5, 48
 SKETCH_BITS = 512
 #: XOR bits up to which a pair goes on: 80 are expected at similarity 0.8, with a deviation of 12.
 SKETCH_LIMIT = 146
+#: Bands and limit are fitted to this similarity; pairs below it would be missed.
+LEAST_PERCENT = 80
 #: Node lists of up to this many rows (16 bytes each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Places of the parities of whole sets, of which only nodes in open buckets have one.
@@ -227,6 +229,8 @@ def _with_own(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of `docs`."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"bands and sketches find no pairs below {LEAST_PERCENT} percent reliably, got {percent}")
     corpus = _Corpus(docs, key, text, width, percent)
     members = corpus.members()
     stars = members.where("node <> hub").selectExpr("hub AS a", "node AS b").distinct()

@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("piece encoding", encode),
 ]
 
-#: SQL cannot express the last stage; the tests compare the stages with brute force.
+#: SQL cannot express the last stage; tests/llm/test_pipeline.py compares the stages with brute force or statements, the first with op6.
 ORACLE_SQL = None
 
 

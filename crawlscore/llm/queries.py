@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from crawlscore.llm import (
-    decontamination, html_text, mixing, near_dedup, pieces, quality_classifier, quality_rules, threshold_search, token_files, url_filters,
-    warc_zip,
+    decontamination, html_text, importance, mixing, near_dedup, pieces, quality_classifier, quality_rules, threshold_search, token_files,
+    url_filters, warc_zip,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_threshold_search": threshold_search.op8_threshold_search,
     "op9_mixing": mixing.op9_mixing,
     "op10_warc_zip": warc_zip.op10_warc_zip,
+    "op11_importance": importance.op11_importance,
     "op12_decontamination": decontamination.op12_decontamination,
 }
 ORACLES = {
@@ -27,5 +28,6 @@ ORACLES = {
     "op8_threshold_search": threshold_search.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_warc_zip": warc_zip.ORACLE,
+    "op11_importance": importance.ORACLE,
     "op12_decontamination": decontamination.ORACLE,
 }

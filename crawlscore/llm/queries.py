@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from crawlscore.llm import (
-    decontamination, html_text, importance, mixing, near_dedup, pieces, quality_classifier, quality_rules, threshold_search, token_files,
-    url_filters, warc_zip,
+    decontamination, html_text, importance, mixing, near_dedup, pieces, quality_classifier, quality_rules, spelling, threshold_search,
+    token_files, url_filters, warc_zip,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_warc_zip": warc_zip.op10_warc_zip,
     "op11_importance": importance.op11_importance,
     "op12_decontamination": decontamination.op12_decontamination,
+    "op13_spelling": spelling.op13_spelling,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
@@ -30,4 +31,5 @@ ORACLES = {
     "op10_warc_zip": warc_zip.ORACLE,
     "op11_importance": importance.ORACLE,
     "op12_decontamination": decontamination.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }

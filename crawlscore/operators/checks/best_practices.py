@@ -191,7 +191,7 @@ CHECKS = [
         tables=("render",), requires=("render",),
         rules=(
             Rule("errors", "warn", "render.error_count > 0", "medium", "medium",
-                 message="concat(render.error_count, ' script errors, such as: ', "
+                 message="concat(render.error_count, ' script errors: ', "
                          "render.error_examples)"),
         ),
     ),

@@ -166,28 +166,31 @@ def broken_pages(statuses: DataFrame, edges: DataFrame, broken: str) -> DataFram
 
 
 def broken_breakdown(statuses: DataFrame, edges: DataFrame, broken: str,
-                     pages_shown: int, listed: int | None = None) -> DataFrame:
-    """Broken addresses with their answer, the first pages they stand on, and how many more.
+                     pages_shown: int | None = None, listed: int | None = None) -> DataFrame:
+    """Broken addresses with their answer and every page they stand on: one row per address and page, or one
+    without a page where none is known.
 
-    Only the text stops at `pages_shown` pages, which a window limit keeps; the exact number of pages is
-    counted apart, every broken address is listed, and `broken_pages` has all pages as rows.
+    With `pages_shown` one row per address, whose `pages` names that many pages and `more_pages` counts the others;
+    the window limit keeps as few before the shuffle.
     """
     bad = statuses.where(broken).select("audit_id", F.col("url").alias("link"), "status_code")
+    bad = _first(bad, listed, "link")
+    answer = F.when(F.col("status_code") == 0, "can't be reached").otherwise(
+        F.concat(F.lit("error "), F.col("status_code").cast("string")))
+    bad = bad.select("audit_id", "link", answer.alias("answer"))
     hits = broken_pages(statuses, edges, broken)
+    if pages_shown is None:
+        return bad.join(hits, ["audit_id", "link"], "left")
     counts = hits.groupBy("audit_id", "link").agg(F.count("*").alias("on_pages"))
     order = Window.partitionBy("audit_id", "link").orderBy("page_key")
     few = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pages_shown)
     shown = few.groupBy("audit_id", "link").agg(F.expr(
         "transform(array_sort(collect_list(struct(n, final_url))), x -> x.final_url)")
         .alias("shown_pages"))
-    rows = bad.join(counts, ["audit_id", "link"], "left").join(
-        shown, ["audit_id", "link"], "left")
-    ranked = _first(rows, listed, "link")
-    answer = F.when(F.col("status_code") == 0, "can't be reached").otherwise(
-        F.concat(F.lit("error "), F.col("status_code").cast("string")))
+    rows = bad.join(counts, ["audit_id", "link"], "left").join(shown, ["audit_id", "link"], "left")
     pages = F.coalesce("on_pages", F.lit(0))
-    return ranked.select(
-        "audit_id", "link", answer.alias("answer"), pages.alias("on_pages"),
+    return rows.select(
+        "audit_id", "link", "answer", pages.alias("on_pages"),
         F.coalesce(F.array_join("shown_pages", " "), F.lit("")).alias("pages"),
         F.greatest(pages - pages_shown, F.lit(0)).alias("more_pages"))
 

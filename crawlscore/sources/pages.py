@@ -51,15 +51,15 @@ def spread(df: DataFrame, parts: int | None) -> DataFrame:
     return df if parts is None else df.repartition(parts)
 
 
-def page_docs(pages: DataFrame, parts: int | None = None) -> DataFrame:
-    """One row per HTML page: keys, headers, and everything its document says.
+def page_docs(pages: DataFrame, parts: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per HTML page: keys, headers, the columns to `keep`, and everything its document says.
 
     The doctype and encoding tests read the raw text inside the JVM, before the text is
     handed to the parser; the text itself is not carried on.
     """
     head = F.lower(F.substring("text", 1, 1024))
     prepared = html_pages(pages).select(
-        "audit_id", "page_key", "url", "final_url", "status_code", "headers",
+        "audit_id", "page_key", "url", "final_url", "status_code", "headers", *keep,
         F.col("text").rlike(DOCTYPE).alias("has_doctype"),
         (
             head.contains("<meta charset")
@@ -84,16 +84,15 @@ def render_docs(renders: DataFrame, parts: int | None = None) -> DataFrame:
 # --- bot-protection pages ------------------------------------------------------------------------
 
 
-def checkpoint_provider(status: Column, headers: Column, text: Column,
-                        short_page: int = fv.SHORT_PAGE) -> Column:
+def checkpoint_provider(status: Column, headers: Column, text: Column, short_page: int | None) -> Column:
     """Name of the firewall that answered instead of the site, '' if unknown, null if none.
 
-    Markers count anywhere in the text. An answer that is neither a refusal nor shorter than
-    `short_page` characters is a real page, whatever it says.
+    Markers count anywhere in the text. The caller says which answers may be checkpoints at all: besides refusals
+    those shorter than `short_page` characters (the audit's rule is `fv.SHORT_PAGE`), or all of them with None.
     """
     head = F.lower(text)
     refused = status.isin(403, 429, 503)
-    suspicious = refused | (F.length(text) < short_page)
+    suspicious = F.lit(True) if short_page is None else refused | (F.length(text) < short_page)
     phrase = F.lit(False)
     for words in fv.CHECKPOINT_PHRASES:
         phrase = phrase | head.contains(words)

@@ -1,7 +1,7 @@
-"""Audit events as streams: features, rates, reuse, stuck audits, score drops, roll-ups.
+"""Audit events as streams: page features, rates, and requests that reuse an audit.
 
-Rows later than the watermark are dropped. State is per address or audit and holds one
-small value, so a busy address costs its task rows in sequence but never memory.
+Rows later than the watermark are dropped. Timers and rows held for their order are in `keyed`, results of whole
+sites in `sites`.
 """
 
 from __future__ import annotations
@@ -19,21 +19,13 @@ from crawlscore.operators.checks.features import FEATURES, layered
 from crawlscore.sources import pages as pg
 
 
-def page_features(pages: DataFrame, names: list[str]) -> DataFrame:
-    """The row-local part of the checks over a stream of crawled pages (append mode)."""
-    return layered(_docs(pages), FEATURES, set(names)).select(
+def page_features(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The row-local part of the checks over a stream of crawled pages (append mode): all features, or those named."""
+    names = sorted(FEATURES) if names is None else names
+    return layered(pg.page_docs(pages), FEATURES, set(names)).select(
         "audit_id", "page_key", "final_url", *names)
 
 
-def _docs(pages: DataFrame) -> DataFrame:
-    from crawlscore.sources import html
-
-    prepared = pg.html_pages(pages).select(
-        "audit_id", "page_key", "final_url", "headers", "text", *(
-            ["crawled_at"] if "crawled_at" in pages.columns else []))
-    return html.extract(prepared)
-
-
 def start_rates(starts: DataFrame, window: str = "1 hour", slide: str = "5 minutes",
                 late: str = "10 minutes") -> DataFrame:
     """Starts per visitor in sliding windows."""
@@ -79,10 +71,12 @@ def decided_requests(requests: DataFrame, audits: DataFrame, hours: int = fv.REU
             state.setTimeoutTimestamp(max((spans_kept[-1][1] + reuse) // 1000, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
+        begins = np.array([x[0] for x in spans], np.int64)
+        ends = np.array([x[1] + reuse for x in spans], np.int64)
         for rows in asked:
-            refused = np.zeros(len(rows), dtype=bool)
-            for first, last in spans:
-                refused |= ((rows["us"] >= first) & (rows["us"] <= last + reuse)).to_numpy()
+            at = rows["us"].to_numpy()
+            span = np.searchsorted(begins, at, "right") - 1  # the last that begins before; spans are sorted and apart
+            refused = (span >= 0) & (at <= ends[span]) if len(spans) else np.zeros(len(at), dtype=bool)
             yield pd.DataFrame({"id": rows["id"].astype("int64"), "url": key[0], "accepted": ~refused})
 
     return events.withWatermark("at", late).withColumn("us", F.unix_micros("at")).groupBy("url").applyInPandasWithState(
@@ -105,63 +99,3 @@ def accepted_requests(requests: DataFrame, audits: DataFrame, hours: int = fv.RE
                       late: str = "1 hour") -> DataFrame:
     """The requests that start an audit."""
     return decided_requests(requests, audits, hours, late).where("accepted").drop("accepted")
-
-
-def stuck_audits(events: DataFrame, seconds: int = fv.AUDIT_TIMEOUT_SECONDS + fv.STUCK_GRACE_SECONDS,
-                 late: str = "1 minute") -> DataFrame:
-    """Audits whose end does not arrive in time: an event-time timer per audit.
-
-    `events` has id, status, at; a finished status clears the timer.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (started,) = state.get
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "started": [pd.Timestamp(started, unit="us")]})
-            return
-        started, over = state.get[0] if state.exists else None, False
-        for rows in frames:  # one bounded batch after another
-            first = int(rows["at"].min().value // 1000)
-            started = first if started is None else min(started, first)
-            over = over or bool(rows["status"].isin(["done", "failed"]).any())
-        if over:
-            if state.exists:
-                state.remove()
-            return
-        state.update((started,))
-        due = started // 1000 + seconds * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("at", late).groupBy("id").applyInPandasWithState(
-        run, "id bigint, started timestamp", "started bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
-
-
-def score_drops(audits: DataFrame, drop: int = fv.ALERT_ON_DROP) -> DataFrame:
-    """Audits that lost points against the one before, by a remembered last score.
-
-    `audits` has id, url, health_score, created_at.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["created_at", "id"])
-        alerts = []
-        for audit_id, score in zip(rows["id"], rows["health_score"]):
-            if last is not None and score - last <= -drop:
-                alerts.append((audit_id, key[0], int(score - last)))
-            last = int(score)
-        state.update((last,))
-        yield pd.DataFrame(alerts, columns=["id", "url", "delta"])
-
-    return audits.groupBy("url").applyInPandasWithState(
-        run, "id bigint, url string, delta int", "last int", "append", GroupStateTimeout.NoTimeout)
-
-
-def site_rollup(pages: DataFrame, names: list[str], gap: str = "10 minutes",
-                late: str = "10 minutes") -> DataFrame:
-    """Page counts per audit once its pages have stopped arriving: a session per audit."""
-    rows = layered(_docs(pages), FEATURES, set(names)).withWatermark("crawled_at", late)
-    return rows.groupBy(F.session_window("crawled_at", gap), "audit_id").agg(
-        F.count("*").alias("pages"), *[F.count_if(F.col(n)).alias(n) for n in names])

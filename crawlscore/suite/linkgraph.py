@@ -104,15 +104,13 @@ def images(c):
     return lg.images_to_check(lg.image_edges(c.docs)).select("audit_id", "link")
 
 
-@query("D9", _EDGES + f""", bad AS (SELECT audit_id, url, status_code, row_number() OVER (PARTITION BY audit_id ORDER BY url) AS rn FROM url_status WHERE kind = 'internal' AND {INTERNAL_BROKEN}),
-spots AS (SELECT audit_id, link, final_url, pos, row_number() OVER (PARTITION BY audit_id, link ORDER BY pos) AS n, count(*) OVER (PARTITION BY audit_id, link) AS k FROM (SELECT DISTINCT l.audit_id, c.link, l.final_url, l.pos
-  FROM cut_links c JOIN op l USING (audit_id, pos)) AS d)
-SELECT b.audit_id, b.url AS link, CASE WHEN status_code = 0 THEN 'can''t be reached' ELSE concat('error ', status_code) END AS answer, coalesce(max(k), 0) AS on_pages, coalesce(string_agg(final_url, ' ' ORDER BY n) FILTER (WHERE n <= 5), '') AS pages,
-  greatest(coalesce(max(k), 0) - 5, 0) AS more_pages FROM bad b LEFT JOIN spots s ON s.audit_id = b.audit_id AND s.link = b.url GROUP BY b.audit_id, b.url, status_code""")
+@query("D9", _EDGES + f""", bad AS (SELECT audit_id, url, status_code FROM url_status WHERE kind = 'internal' AND {INTERNAL_BROKEN}),
+spots AS (SELECT DISTINCT l.audit_id, c.link, l.final_url, l.pos FROM cut_links c JOIN op l USING (audit_id, pos))
+SELECT b.audit_id, b.url AS link, CASE WHEN status_code = 0 THEN 'can''t be reached' ELSE concat('error ', status_code) END AS answer, s.final_url
+  FROM bad b LEFT JOIN spots s ON s.audit_id = b.audit_id AND s.link = b.url""")
 def breakdown(c):
     own = c.url_status.where("kind = 'internal'").drop("kind")
-    return lg.broken_breakdown(own, lg.internal_edges(c.docs, c.homes), INTERNAL_BROKEN, pages_shown=5).selectExpr(
-        "audit_id", "link", "answer", "on_pages", "pages", "CAST(more_pages AS BIGINT) AS more_pages")
+    return lg.broken_breakdown(own, lg.internal_edges(c.docs, c.homes), INTERNAL_BROKEN).drop("page_key")
 
 
 @query("D9_pages", _EDGES + f""" SELECT audit_id, link, final_url FROM (SELECT DISTINCT l.audit_id, c.link, l.final_url, l.pos FROM cut_links c JOIN op l USING (audit_id, pos)) AS d

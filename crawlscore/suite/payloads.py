@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from crawlscore import fixed_values as fv
 from crawlscore.functions import robots
 from crawlscore.session import shared_folder
 from crawlscore.sources import derived as dv
@@ -239,7 +240,7 @@ def firewalls(c):
         "CASE event_type WHEN 'view' THEN 'Vercel Security Checkpoint' WHEN 'purchase' THEN CASE WHEN value < 100 THEN 'solve this captcha' ELSE 'our captcha form' END "
         "WHEN 'signup' THEN CASE WHEN value < 50 THEN 'sgcaptcha' WHEN value < 90 THEN 'imunify' ELSE 'hello' END ELSE 'hello' END AS html")
     return rows.select("event_id", pg.checkpoint_provider(
-        F.col("status"), F.col("headers"), F.col("html")).alias("provider"))
+        F.col("status"), F.col("headers"), F.col("html"), fv.SHORT_PAGE).alias("provider"))
 
 
 @query("A20", "SELECT doc_id AS audit_id, CASE WHEN n_chars < 3000 THEN text ELSE '' END AS llms_txt_text FROM documents")

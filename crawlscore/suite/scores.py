@@ -28,6 +28,18 @@ per AS (SELECT audit_id, category, sum(weight * score) FILTER (WHERE status = 'r
   count(*) FILTER (WHERE status <> 'ran') AS k, coalesce(bool_or(high_impact_fail) FILTER (WHERE status = 'ran' AND score IS NOT NULL), false) AS h, arg_min(note, check_ord) FILTER (WHERE status <> 'ran' AND note <> '') AS n FROM result_rows GROUP BY 1, 2),
 cs AS (SELECT a.audit_id, c.category, c.ord, CASE WHEN h THEN least(89, CAST(floor(100 * w / t + 0.5) AS INT)) ELSE CAST(floor(100 * w / t + 0.5) AS INT) END AS score, coalesce(r, 0) AS checks_run, coalesce(k, 0) AS checks_skipped,
   CASE WHEN r > 0 THEN '' ELSE coalesce(n, 'Not checked.') END AS note FROM (SELECT DISTINCT audit_id FROM result_rows) a CROSS JOIN (VALUES {CATS}) AS c(category, ord) LEFT JOIN per p ON p.audit_id = a.audit_id AND p.category = c.category)"""
+
+
+def category_scores_sql(found: str, check_ids: list[str]) -> str:
+    """Category scores of the rows (audit_id, check_id, status, score, severity, impact) of a statement."""
+    weights = ", ".join(f"('{i}', {catalogue()[i].weight})" for i in check_ids)
+    rows = f"""WITH result_rows AS (
+  SELECT audit_id, f.check_id, split_part(f.check_id, '.', 1) AS category, 1 AS check_ord, any_value(weight) AS weight, any_value(status) AS status,
+    min(score) AS score, '' AS note, coalesce(bool_or(severity = 'fail' AND impact = 'high'), false) AS high_impact_fail
+  FROM ({found}) AS f JOIN (VALUES {weights}) AS w(check_id, weight) ON w.check_id = f.check_id GROUP BY 1, 2)"""
+    return CATEGORY_SCORES.replace(RESULTS, rows, 1) + " SELECT audit_id, category, score, checks_run, checks_skipped FROM cs"
+
+
 HEALTH = CATEGORY_SCORES + f", health AS (SELECT audit_id, CAST(floor(sum({WEIGHT} * score) / sum(CASE WHEN score IS NOT NULL THEN {WEIGHT} END)::DOUBLE + 0.5) AS INT) AS health_score FROM cs GROUP BY audit_id)"
 BAND = "CASE WHEN {s} < 50 THEN 'urgent' WHEN {s} < 90 THEN 'attention' WHEN {s} IS NOT NULL THEN 'healthy' END"
 

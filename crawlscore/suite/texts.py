@@ -369,10 +369,13 @@ def descriptions(c):
     ).selectExpr("page_id", f"{el.described()} AS label").where("label LIKE '<img src=%' ")
 
 
-@query("C6", page_cte() + """ SELECT page_id, h.i AS shot_ord, 'body > nav > ul > li' || CASE WHEN n = 1 THEN '' ELSE concat(':nth-of-type(', h.i, ')') END || ' > a' AS selector
-  FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM op) AS x, LATERAL (SELECT unnest(range(1, least(n, 3) + 1)) AS i) AS h""")
+@query("C6", page_cte() + """ SELECT page_id, i AS shot_ord, replace(hrefs[i], '&amp;', '&') AS href, CASE WHEN i <= n THEN
+    'body > nav > ul > li' || CASE WHEN n = 1 THEN '' ELSE concat(':nth-of-type(', i, ')') END || ' > a' END AS selector
+  FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM op) AS x,
+    LATERAL (SELECT unnest(range(1, len(hrefs) + 1)) AS i) AS h""")
 def shots(c):
-    return _shots(c, limit=3).drop("href")
+    """All links of a page; their paths are compared within the page's menu."""
+    return _shots(c).withColumn("selector", F.when(F.col("selector").startswith("body > nav"), F.col("selector")))
 
 
 @query("C6_all", page_cte() + """ SELECT page_id, i AS shot_ord, replace(hrefs[i], '&amp;', '&') AS href
@@ -381,8 +384,8 @@ def all_shots(c):
     return _shots(c).drop("selector")
 
 
-def _shots(c, limit=None):
-    found = el.shots(el.tagged("elements", "a"), "final_url", limit)
+def _shots(c):
+    found = el.shots(el.tagged("elements", "a"), "final_url")
     rows = c.docs.selectExpr("page_key.id AS page_id", f"posexplode({found}) AS (i, s)")
     return rows.selectExpr("page_id", "CAST(i + 1 AS BIGINT) AS shot_ord", "s.selector", "s.match_value AS href")
 

@@ -21,6 +21,7 @@ special tokens are ordinary text. An empty table gives no file and no rows. Othe
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +31,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlscore.llm import common, ragged, storage
+from crawlscore.llm import common, encoded, ragged, storage
 
 BLOCK_IDS = 1 << 21
 END_ID = 0
-REMEMBERED = 200_000
+#: Words between spaces, and pieces of these, that a worker remembers, twice.
+REMEMBERED = 600_000
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 6 << 20
 #: Words encoded in one call.
 ROW_WORDS = 2_000
+_LETTER = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F"
+#: Places where the vocabulary's pattern always ends a piece: a letter before ASCII punctuation or a line feed, and a
+#: single line feed before a letter.
+_CUTS = re.compile(rf"(?<=[{_LETTER}])(?=[!-/:-@\[-`{{-~\n])|(?<=\S\n)(?=[{_LETTER}])")
+_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~\n]")
+_WHITE = re.compile(r"\s")
 #: A space after white space: such texts are encoded whole, all others word by word.
 _ODD_SPACING = r"[\s\v\x1c-\x1f\x{85}\p{Z}] "
 
@@ -62,7 +72,7 @@ class Vocabulary:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.memo = ragged.Memo(self._coded, "<u4", REMEMBERED)
+        self.memo, self.parts = encoded.Store(REMEMBERED), encoded.Store(REMEMBERED)
         #: Bytes of each token: its characters stand for one byte each.
         names = self.tokenizer.get_vocab()
         self.widths = np.zeros(max(names.values()) + 1, np.int64)
@@ -70,24 +80,48 @@ class Vocabulary:
             self.widths[i] = len(name)
         self.white = {chr(c) for c in range(0x3001) if chr(c).isspace()} | {""}
 
-    def _coded(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Words between which the pattern always ends a piece are encoded in rows of many."""
-        out: list[bytes] = [b""] * len(texts)
-        joined = [k for k, t in enumerate(texts) if t[:1] == " " and t[-1:] not in self.white]
-        for start in range(0, len(joined), ROW_WORDS):
-            some = joined[start:start + ROW_WORDS]
-            raw = [texts[k].encode() for k in some]
-            ids = np.array(self._ids([b"".join(raw).decode()])[0], "<u4")
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(r) for r in raw])) + 1
-            flat, at = ids.tobytes(), 0
-            for k, end in zip(some, ends.tolist()):
-                out[k] = flat[4 * at:4 * end]
-                at = end
-        chosen = set(joined)
-        alone = [k for k in range(len(texts)) if k not in chosen and texts[k]]
-        for k, ids in zip(alone, self._ids([texts[k] for k in alone])):
-            out[k] = np.array(ids, "<u4").tobytes()
-        return out
+    def _unseen(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of unseen units, which are cut where the pattern always ends a piece, so that a word and the
+        same word before a comma are encoded once."""
+        cut = [_CUTS.split(u) if _PUNCTUATION.search(u) else (u,) for u in units]
+        place: dict[str, int] = {}
+        codes = np.fromiter((place.setdefault(p, len(place)) for parts in cut for p in parts), np.int64)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        distinct = list(place)
+        starts, values = self.parts.runs(pa.array(distinct, pa.large_string()), lambda at: self._coded([distinct[k] for k in at.tolist()]))
+        ids, begins = ragged.gather(codes, starts, values)
+        return np.diff(begins[np.concatenate(([0], np.cumsum(counts)))]), ids
+
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of texts. Those between which the pattern always ends a piece are encoded in rows of many: those
+        that begin with a space one after another, those without white space with a line feed after each."""
+        joined, lines, alone = [], [], []
+        for k, t in enumerate(texts):
+            if t[:1] == " " and t[-1:] not in self.white:
+                joined.append(k)
+            else:
+                (alone if not t or _WHITE.search(t) else lines).append(k)
+        runs = [*self._in_rows(texts, joined, ""), *self._in_rows(texts, lines, "\n")]
+        found = self._ids([texts[k] for k in alone])
+        runs.append((np.array(alone, np.int64), np.array([len(f) for f in found], np.int64),
+                     np.fromiter((i for f in found for i in f), "<u4")))
+        at = np.concatenate([r[0] for r in runs])
+        sizes, ids = np.concatenate([r[1] for r in runs]), np.concatenate([r[2] for r in runs])
+        order = np.argsort(at)
+        ids, begins = ragged.gather(order, np.concatenate(([0], np.cumsum(sizes))), ids)
+        return np.diff(begins), ids
+
+    def _in_rows(self, texts: list[str], chosen: list[int], end: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for start in range(0, len(chosen), ROW_WORDS):
+            some = chosen[start:start + ROW_WORDS]
+            row = [texts[k] + end for k in some]
+            ids = np.array(self._ids(["".join(row)])[0], "<u4")
+            octets = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in row])
+            sizes = np.diff(np.searchsorted(np.cumsum(self.widths[ids]), octets) + 1, prepend=0)
+            if end:  # a line feed is one id
+                last = np.cumsum(sizes) - 1
+                ids, sizes = np.delete(ids, last), sizes - 1
+            yield np.array(some, np.int64), sizes, ids
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,18 +132,19 @@ class Vocabulary:
         plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         offsets = plain.offsets.to_numpy()
         offsets, flat = offsets - offsets[0], plain.values.slice(offsets[0], offsets[-1] - offsets[0])
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True
-        space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
-        flat = pc.binary_join_element_wise(pc.if_else(pa.array(first), nothing, space), flat, nothing)
         codes, distinct = ragged.coded(flat)
-        starts, values = self.memo.runs(distinct.to_pylist())
+        firsts, own = np.unique(codes[offsets[:-1]], return_inverse=True)  # a text's first word has no space in front
+        codes = codes.astype(np.int64)
+        codes[offsets[:-1]] = len(distinct) + own
+        units = pa.concat_arrays([
+            pc.binary_join_element_wise(pa.scalar("", pa.large_string()), distinct, pa.scalar(" ", pa.large_string())),
+            distinct.take(pa.array(firsts))])
+        starts, values = self.memo.runs(units, lambda at: self._unseen(units.take(pa.array(at)).to_pylist()))
         ids, begins = ragged.gather(codes, starts, values)
         bounds = begins[offsets]
         if odd.any():
-            runs = self._coded(texts.filter(pa.array(odd)).to_pylist())
-            own = np.frombuffer(b"".join(runs), "<u4")
-            more = np.cumsum([len(r) // 4 for r in runs])
+            sizes, own = self._coded(texts.filter(pa.array(odd)).to_pylist())
+            more = np.cumsum(sizes)
             order = np.empty(len(odd), np.int64)
             order[~odd], order[odd] = np.arange((~odd).sum()), (~odd).sum() + np.arange(odd.sum())
             ids, bounds = ragged.gather(order, np.concatenate((bounds, bounds[-1] + more)), np.concatenate((ids, own)))
@@ -213,7 +248,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
             held = 0
 
         for batch in batches:
-            for part in ragged.slices(batch, "text"):
+            for part in ragged.slices(batch, "text", SLICE_BYTES):
                 ids, bounds = words.encode(part.column("text"))
                 n = len(bounds) - 1
                 ends = bounds[1:] + np.arange(n)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from crawlscore.llm import common, pieces, ragged, token_files
+from crawlscore.llm import common, encoded, pieces, ragged, token_files
 
 ALPHABET = "aabbee thTH  \n\t.,1203#<>0xA▁é漢字ñß😀\x00\x1f　\x0b\x85"
 
@@ -106,3 +106,17 @@ def test_slices_cover_the_batch():
     parts = list(ragged.slices(batch, "text", 12))
     assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
     assert len(parts) > 3
+
+
+def test_units_cut_at_punctuation_equal_the_library():
+    """Words before punctuation, contractions, line feeds of any number, digits and other scripts, in generated texts."""
+    rng = random.Random(7)
+    bits = ["word", "Word", "élan", "ß", "don't", "I'll", "x's", "''s", ",", ".", "...", "\n", "\n\n", " \n", "\t", "12", "a1", "ªº", "²", "日本", "é́", "_", "`", "~", "\r\n", "\x0b", " ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", "", " ", " "]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    words = token_files.Vocabulary(token_files.vocabulary_path())
+    for limit in (7, 100_000):
+        words.memo, words.parts = encoded.Store(limit), encoded.Store(limit)
+        for _ in range(2):
+            ids, bounds = words.encode(pa.array(texts))
+            want = words._ids(texts)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want

@@ -1,8 +1,8 @@
 """robots.txt rules and decisions, local to the row that holds the file.
 
 A file becomes an array of groups (agents, rules) in one pass of a fold over its lines; the
-decision for an agent and an address is a search in that array. No rule is exploded, so
-asking many addresses of one site never multiplies rows.
+decision for an agent and one address of the site, such as its homepage, is a search in that array. Many
+addresses are judged by `operators.robots_access`.
 """
 
 from __future__ import annotations
@@ -87,18 +87,26 @@ def file_exists_sql(status: str, content_type: str, text: str) -> str:
     )
 
 
-def allows(groups: str, agent: str, url: str) -> str:
-    """SQL: may `agent` (a plain name) visit `url`? The first fitting group and rule decide."""
-    name = agent.lower().split("/")[0]
-    target = _decoded(
+def target(url: str) -> str:
+    """SQL of what rules are compared with: path and query of an address."""
+    return _decoded(
         f"coalesce(nullif(regexp_extract({url}, r\"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)\", 1), ''), '/')"
     )
+
+
+def group_of(groups: str, agent: str) -> str:
+    """SQL of the group that binds `agent` (a plain name): the first that names it, else the first for all."""
+    name = agent.lower().split("/")[0]
     named = (
         f"filter({groups}, g -> NOT array_contains(g.agents, '*') AND "
         f"exists(g.agents, a -> contains('{name}', lower(a))))"
     )
     fallback = f"filter({groups}, g -> array_contains(g.agents, '*'))"
-    group = f"coalesce(get({named}, 0), get({fallback}, 0))"
-    rule = f"filter({group}.rules, r -> r.path = '*' OR startswith({target}, r.path))"
+    return f"coalesce(get({named}, 0), get({fallback}, 0))"
+
+
+def allows(groups: str, agent: str, url: str) -> str:
+    """SQL: may `agent` visit `url`? The first fitting rule of its group decides."""
+    rule = f"filter({group_of(groups, agent)}.rules, r -> r.path = '*' OR startswith({target(url)}, r.path))"
     return f"coalesce(get({rule}, 0).allow, true)"
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crawlscore import fixed_values as fv
 from crawlscore.functions import robots, urls
+from crawlscore.operators import robots_access
 from crawlscore.plans.side_tables import links
 
 
@@ -42,7 +43,7 @@ def candidates(sitemap: DataFrame, home_links: DataFrame) -> DataFrame:
 
 
 def _with_site(df: DataFrame, sites: DataFrame) -> DataFrame:
-    return df.join(sites, "audit_id")
+    return df.join(sites.select("audit_id", "home_url"), "audit_id")
 
 
 def choose_pages(found: DataFrame, sites: DataFrame, agent: str = "*",
@@ -58,10 +59,7 @@ def choose_pages(found: DataFrame, sites: DataFrame, agent: str = "*",
         urls.same_origin(F.col("page"), F.col("home_url"))
         & (F.col("page") != urls.normalize_url(F.col("home_url")))
         & urls.is_page_address(F.col("page")))
-    allowed = F.expr(
-        "CASE WHEN robots_groups IS NULL THEN true ELSE "
-        + robots.allows("robots_groups", agent, "page") + " END")
-    judged = own.select("audit_id", "page", "at", allowed.alias("allowed"))
+    judged = robots_access.judged(own.select("audit_id", "page", "at"), "page", sites, agent)
     wanted = _first(judged.where("allowed"), limit, "at")
     if limit is None:
         return wanted.select("audit_id", "page", "at"), judged.where("NOT allowed").select("audit_id", "page", "at")
@@ -91,12 +89,9 @@ def link_edges(docs: DataFrame) -> DataFrame:
 
 def internal_edges(docs: DataFrame, sites: DataFrame, agent: str = "*") -> DataFrame:
     """Edges within a site that robots.txt lets us follow."""
-    edges = _with_site(link_edges(docs), sites)
-    allowed = F.expr(
-        "CASE WHEN robots_groups IS NULL THEN true ELSE "
-        + robots.allows("robots_groups", agent, "link") + " END")
-    return edges.where(urls.same_origin(F.col("link"), F.col("home_url")) & allowed).select(
+    edges = _with_site(link_edges(docs), sites).where(urls.same_origin(F.col("link"), F.col("home_url"))).select(
         "audit_id", "link", "page_key", "final_url", "link_ord")
+    return robots_access.judged(edges, "link", sites, agent).where("allowed").drop("allowed")
 
 
 def _first_places(edges: DataFrame) -> DataFrame:

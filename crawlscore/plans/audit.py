@@ -172,7 +172,8 @@ _EMPTY_TABLES = {
                "render_blocking_savings_ms:double,offscreen_images:array<string>,"
                "unsized_images:array<string>,field:struct<lcp_ms:double,cls:double,inp_ms:double,"
                "fcp_ms:double,origin_wide:boolean>"),
-    "security": "domain:string,cert_error:string,cert_days:int,domain_days:int,dns_checked:boolean,"
+    "security": "domain:string,cert_error:string,cert_expires:timestamp,domain_expires:timestamp,"
+                "cert_days:int,domain_days:int,has_mx:boolean,dns_checked:boolean,"
                 "spf:string,dmarc:string,files_checked:boolean,git_exposed:boolean,"
                 "env_exposed:boolean,security_txt:boolean",
     "h1_groups": "h1_shared_only:bigint,h1_first_key:struct<depth:bigint,length:bigint,id:bigint>,"

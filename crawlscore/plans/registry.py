@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import replace
+from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crawlscore.plans.audit import AuditInputs, capabilities
 from crawlscore.plans.catalog import catalogue, register, unregister
 
-__all__ = ["apply_page_logic", "catalogue", "register", "tag_parts", "unregister", "with_collector"]
+__all__ = ["catalogue", "outline", "page_logic", "register", "register_page_logic", "unregister", "with_collector"]
 
 
 def with_collector(inputs: AuditInputs, name: str, table: DataFrame) -> AuditInputs:
@@ -29,24 +28,55 @@ def with_collector(inputs: AuditInputs, name: str, table: DataFrame) -> AuditInp
         inputs, capabilities=known.unionByName(own), extra={**inputs.extra, name: table})
 
 
-def apply_page_logic(
-    pages: DataFrame, html_column: str, logic: Callable[[str], Iterator[str]], output: str = "part"
-) -> DataFrame:
-    """Rows that `logic` yields for the HTML of each page, next to the page's other columns.
+def page_logic(logic: Callable[[str], Iterator[str]], key: str = "bigint"):
+    """A table function over batches of pages: (page, part) rows from a table of page keys and HTML, in this order.
 
-    Runs on batches of pages inside Spark's own partitions; nothing is grouped.
+    Arrow batches come in and tables go out, in the partitions the pages are in. A page without HTML, or one that
+    `logic` finds nothing in, gives no row; the key may be null.
     """
-    keep = [c for c in pages.columns if c != html_column]
-    schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField(output, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = batch[html_column].map(lambda text: list(logic(text)))
-            yield batch[keep].assign(**{output: found}).explode(output).dropna(subset=[output])
+    @F.arrow_udtf(returnType=f"page {key}, part string")
+    class Parts:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            keys, parts = [], []
+            pages = batch.column(0)
+            for page, text in zip(pages.to_pylist(), batch.column(1).to_pylist()):
+                found = list(logic(text)) if text else []
+                keys += [page] * len(found)
+                parts += found
+            yield pa.table({"page": pa.array(keys, pages.type), "part": pa.array(parts, pa.string())})
 
-    return pages.mapInPandas(run, schema)
+    return Parts
 
 
-def tag_parts(text: str) -> Iterator[str]:
-    """An example: the opening tags of the large parts of a page."""
-    return iter(re.findall(r"<(?:nav|footer|article)", text))
+def register_page_logic(spark: SparkSession, name: str, logic: Callable[[str], Iterator[str]], key: str = "bigint") -> None:
+    """Makes `logic` callable in SQL as `name(TABLE(SELECT page, html ...))`; Spark has no LATERAL for Arrow functions yet."""
+    spark.udtf.register(name, page_logic(logic, key))
+
+
+class _Outline(HTMLParser):
+    """The large parts of a page that a reader can see, each with its nesting."""
+
+    LARGE = ("nav", "footer", "article", "main", "aside")
+
+    def __init__(self):
+        super().__init__()
+        self.open: list[str] = []
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.LARGE:
+            self.open.append(tag)
+            self.found.append(" > ".join(self.open))
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+
+def outline(text: str) -> Iterator[str]:
+    """An example that needs a parser's state: the large parts of a page with those around them."""
+    parser = _Outline()
+    parser.feed(text)
+    return iter(parser.found)

@@ -103,9 +103,6 @@ def axe_table(rules: DataFrame) -> DataFrame:
 
 def security_table(facts: DataFrame, as_of: str) -> DataFrame:
     """Security facts with whole days left, floored like calendar code does."""
-    if "cert_days" in facts.columns:
-        return facts
-
     def days(column: str) -> Column:
         return F.floor(
             (F.unix_timestamp(column) - F.unix_timestamp(F.lit(as_of).cast("timestamp")))

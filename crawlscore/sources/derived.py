@@ -293,10 +293,13 @@ AXE_RULES = "\nUNION ALL\n".join(
 SECURITY_FACTS = """
 SELECT audit_id, audit_id AS domain,
   CASE WHEN s26 < 2 THEN 'self-signed certificate' ELSE '' END AS cert_error,
-  CASE WHEN s26 < 5 THEN CAST(NULL AS INT) WHEN s26 < 8 THEN 200 WHEN s26 < 11 THEN 12
-    WHEN s26 < 13 THEN 5 ELSE -3 END AS cert_days,
-  CASE WHEN s27 < 4 THEN CAST(NULL AS INT) WHEN s27 < 8 THEN 300 WHEN s27 < 12 THEN 25 ELSE 7 END
-    AS domain_days,
+  CAST(CASE WHEN s26 < 5 THEN CAST(NULL AS STRING) WHEN s26 < 8 THEN '2024-08-19 23:59:59+00:00'
+    WHEN s26 < 11 THEN '2024-02-13 05:30:00+05:30' WHEN s26 < 13 THEN '2024-02-06 23:59:59+00:00'
+    ELSE '2024-01-29 22:00:00-01:00' END AS TIMESTAMP) AS cert_expires,
+  CAST(CASE WHEN s27 < 4 THEN CAST(NULL AS STRING) WHEN s27 < 8 THEN '2024-11-27 00:00:00+00:00'
+    WHEN s27 < 12 THEN '2024-02-26 12:00:00+00:00' ELSE '2024-02-08 00:00:00+00:00' END AS TIMESTAMP)
+    AS domain_expires,
+  CASE WHEN s31 < 8 THEN TRUE WHEN s31 < 12 THEN FALSE END AS has_mx,
   s28 < 13 AS dns_checked,
   CASE WHEN s29 < 8 THEN 'v=spf1 -all' ELSE '' END AS spf,
   CASE WHEN s30 < 5 THEN 'v=DMARC1; p=reject' WHEN s30 < 10 THEN 'v=DMARC1; P = none' ELSE '' END

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crawlscore import fixed_values as fv
+from crawlscore.plans import audit as au
+from crawlscore.plans import evidence
 from crawlscore.plans.audit import check_results
 from crawlscore.plans.side_tables import script_errors
 from crawlscore.sources import derived as dv
@@ -569,3 +571,59 @@ for _number, _check_id in enumerate(CHECK_IDS, start=1):
 @query("E34_errors", dv.with_clause("renders") + """ SELECT DISTINCT audit_id, unnest(string_split(console_errors, '|')) AS error FROM renders WHERE console_errors <> ''""")
 def errors(c):
     return script_errors(c.renders)
+
+
+# --- evidence of findings, as rows -----------------------------------------------------------------
+def _findings(c, *checks: str):
+    return au.findings(check_results(c.inputs, list(checks)))
+
+
+LIBRARY_ROWS = f"""
+found AS (
+  SELECT audit_id, 'jQuery' AS library, '3.4.1' AS version, '3.5.0' AS safe_version, final_url FROM op WHERE contains(html, 'jquery-3.4.1')
+  UNION ALL SELECT audit_id, 'Bootstrap', '4.1.0', '4.3.1', final_url FROM op WHERE contains(html, 'bootstrap@4.1.0')
+  UNION ALL SELECT audit_id, 'Lodash', '4.17.20', '4.17.21', final_url FROM op WHERE contains(html, '/lodash/4.17.20/')
+  UNION ALL SELECT r.audit_id, 'jQuery', r.jquery_version, '3.5.0', p.final_url FROM renders r JOIN op p ON p.audit_id = r.audit_id AND p.pos = 1
+    WHERE r.jquery_version IN ('3.4.0', '3.4.1'))"""
+
+
+@query("E30_libraries", page_cte() + "," + LIBRARY_ROWS + " SELECT audit_id, library, version, safe_version, count(DISTINCT final_url) AS pages FROM found GROUP BY ALL")
+def libraries(c):
+    return evidence.library_list(c.inputs).drop("note")
+
+
+@query("E30_pages", page_cte() + "," + LIBRARY_ROWS + " SELECT DISTINCT audit_id, library, version, safe_version, final_url FROM found")
+def library_pages(c):
+    return evidence.outdated_libraries(c.inputs)
+
+
+@query("E2_lengths", page_cte() + f""" SELECT audit_id, page_id, length({DESC}) AS length, CASE WHEN length({DESC}) > 160 THEN length({DESC}) - 160 ELSE length({DESC}) - 50 END AS off_by
+  FROM op WHERE length({DESC}) BETWEEN 1 AND 49 OR length({DESC}) > 160""")
+def lengths(c):
+    return evidence.description_lengths(c.inputs).select("audit_id", F.col("page_key.id").alias("page_id"), "length", "off_by")
+
+
+@query("E67_page", page_cte() + f""", q AS (SELECT audit_id, pos, final_url, greatest({QUESTIONS.format(h='dom')}, CASE WHEN {FAQ.format(h='dom')} THEN 2 ELSE 0 END) AS k FROM op)
+  SELECT audit_id, arg_min(final_url, (-k, pos)) AS final_url, max(k)::BIGINT AS answers, max(k) >= 2 AS enough FROM q WHERE k > 0 GROUP BY audit_id""")
+def answer_pages(c):
+    return evidence.best_answer_pages(c.inputs)
+
+
+_NUMBER = ("CASE WHEN contains(dom, 'href=\"tel:') THEN regexp_replace(regexp_extract(dom, 'href=\"tel:([^\"]*)\"', 1), '[^0-9]', '', 'g') "
+           "WHEN regexp_matches(dom, 'Ring 01717863320') THEN '01717863320' END")
+
+
+@query("E14_link", page_cte() + f""" SELECT audit_id, concat('<a href="https://wa.me/', coalesce({_NUMBER}, '8801XXXXXXXXX'), '?text=Hi%2C%20I%20have%20a%20question">Chat on WhatsApp</a>') AS code
+  FROM op WHERE pos = 1 AND NOT contains(dom, '//wa.me/')""")
+def chat_links(c):
+    rows = evidence.with_snippets(_findings(c, "seo.whatsapp_chat"), c.inputs)
+    return rows.select("audit_id", F.explode("snippets").alias("s")).select("audit_id", "s.code")
+
+
+@query("E38_records", page_cte("security_facts") + """, r AS (
+  SELECT audit_id, 1 AS snippet_ord, concat('SPF: a TXT record on ', domain) AS title, CASE WHEN coalesce(has_mx, false) THEN 'v=spf1 include:_spf.google.com ~all' ELSE 'v=spf1 -all' END AS code FROM security_facts WHERE dns_checked AND spf = ''
+  UNION ALL SELECT audit_id, 2, concat('DMARC: a TXT record on _dmarc.', domain), concat('v=DMARC1; p=quarantine; rua=mailto:dmarc@', domain) FROM security_facts WHERE dns_checked AND (dmarc = '' OR contains(dmarc, 'none')))
+SELECT * FROM r""")
+def mail_records(c):
+    rows = evidence.with_snippets(_findings(c, "best_practices.email_spoofing"), c.inputs)
+    return rows.select("audit_id", F.explode("snippets").alias("s")).select("audit_id", "s.snippet_ord", "s.title", "s.code")

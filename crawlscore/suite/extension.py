@@ -39,11 +39,14 @@ def own_check(c):
         "audit_id", "round(score, 6) AS score", "findings[0].affected AS crowded")
 
 
-@query("L2", page_cte() + " SELECT page_id, unnest(regexp_extract_all(html, '<(?:nav|footer|article)')) AS part FROM op")
+@query("L2", page_cte() + """ SELECT page_id, substr(x.p, 2) AS part
+  FROM op, LATERAL (SELECT unnest(regexp_extract_all(html, '<(?:nav|footer|article|main|aside)')) AS p) AS x""")
 def own_page_logic(c):
-    pages = c.pages.where("headers['content-type'] NOT LIKE '%pdf%'").select(
-        F.col("page_key.id").alias("page_id"), "text")
-    return registry.apply_page_logic(pages, "text", registry.tag_parts).select("page_id", "part")
+    """Python logic called from SQL on batches of pages: the innermost name of each large part."""
+    registry.register_page_logic(c.spark, "page_outline", registry.outline)
+    pages = c.pages.where("headers['content-type'] NOT LIKE '%pdf%'").select(F.col("page_key.id").alias("page_id"), "text")
+    return c.spark.sql("SELECT page AS page_id, part FROM page_outline(TABLE(SELECT page_id, text FROM {pages}))", pages=pages).select(
+        "page_id", F.element_at(F.split("part", " > "), -1).alias("part"))
 
 
 @query("L3", page_cte() + " SELECT audit_id, CASE WHEN length(audit_id) > 20 THEN 'warn' ELSE 'pass' END AS severity FROM op GROUP BY 1")

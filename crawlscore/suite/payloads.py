@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crawlscore import fixed_values as fv
 from crawlscore.functions import robots
+from crawlscore.operators import ranking, robots_access
 from crawlscore.session import shared_folder
 from crawlscore.sources import derived as dv
 from crawlscore.sources import pages as pg
@@ -67,13 +68,11 @@ def robots_info(c):
   SELECT page_id, CASE WHEN contains(text, 'GPTBot') THEN false WHEN contains(text, 'Disallow: /de') THEN NOT (starts_with(path, '/de') OR starts_with(path, '/fr')) WHEN starts_with(text, 'User-agent: *') THEN false ELSE true END AS gptbot,
   CASE WHEN contains(text, 'GPTBot') THEN starts_with(path, '/en') OR NOT starts_with(path, '/The') WHEN contains(text, 'Disallow: /de') THEN NOT (starts_with(path, '/de') OR starts_with(path, '/fr')) WHEN starts_with(text, 'User-agent: *') THEN false ELSE true END AS other FROM asked""")
 def robots_decisions(c):
-    groups = c.derived("robots_files").selectExpr(
-        "audit_id", f"{robots.groups_sql('text')} AS g")
+    files = c.derived("robots_files").selectExpr("audit_id", f"{robots.groups_sql('text')} AS robots_groups")
     asked = c.docs.select("audit_id", F.col("page_key.id").alias("page_id"), "final_url").join(
-        groups, "audit_id")
-    return asked.selectExpr(
-        "page_id", f"{robots.allows('g', 'GPTBot', 'final_url')} AS gptbot",
-        f"{robots.allows('g', 'OtherBot/1.0', 'final_url')} AS other")
+        files.select("audit_id"), "audit_id", "left_semi")
+    one = robots_access.judged(asked, "final_url", files, "GPTBot", "gptbot")
+    return robots_access.judged(one, "final_url", files, "OtherBot/1.0", "other").select("page_id", "gptbot", "other")
 
 
 @query("A6_rules", ROBOTS + """ SELECT audit_id, len(regexp_extract_all(text, 'Disallow: /')) AS denies, len(regexp_extract_all(text, '\\nAllow: ')) + len(regexp_extract_all(text, 'Disallow:\\n')) AS allows

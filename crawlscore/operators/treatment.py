@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlscore import fixed_values as fv
 from crawlscore.functions import text as tx
+from crawlscore.operators import ranking
 from crawlscore.operators.scoring import _case
 
 PROBLEMS = ["fail", "warn"]
@@ -86,6 +87,21 @@ def vital_signs(findings: DataFrame, categories: DataFrame) -> DataFrame:
     return filled.withColumn("headline", headline)
 
 
+def vital_sign_rows(findings: DataFrame) -> DataFrame:
+    """The findings of each category as ranked rows: kind (problem, note or healthy), rank within it, check and code.
+
+    The same order as the lists of `vital_signs`, for categories with more findings than a row should hold.
+    """
+    problem = F.col("severity").isin(PROBLEMS)
+    kind = F.when(problem, "problem").when(F.col("severity") == "info", "note").when(F.col("severity") == "pass", "healthy")
+    rows = findings.select(
+        "audit_id", "category", kind.alias("kind"), F.when(problem, _case("severity", SEVERITY_RANK)).alias("by_severity"),
+        F.when(problem, _case("impact", IMPACT_RANK)).alias("by_impact"), "check_ord", "finding_ord",
+        F.concat_ws("/", "check_id", "code").alias("name")).where("kind IS NOT NULL")
+    ranked = ranking.ranked(rows, ["audit_id", "category", "kind"], ["by_severity", "by_impact", "check_ord", "finding_ord"])
+    return ranked.select("audit_id", "category", "kind", "rank", "name")
+
+
 def issue_rows(findings: DataFrame) -> DataFrame:
     """Quick wins, other problems, then notes; each with a key stable within its report."""
     plan = treatment_plan(findings).select(

@@ -150,7 +150,7 @@ def site_facts(inputs: AuditInputs, checks: list[Check], stage: bool = False) ->
 _EMPTY_TABLES = {
     "robots": "robots_url:string,robots_exists:boolean,robots_sitemaps:array<string>,robots_groups:"
               "array<struct<agents:array<string>,rules:array<struct<allow:boolean,path:string>>>>",
-    "sitemaps": "sitemap_checked:array<string>,sitemap_found:boolean,sitemap_urls:bigint",
+    "sitemaps": "sitemap_found:boolean,sitemap_urls:bigint",
     "site_probe": "http_final_url:string,llms_txt_text:string,og_image_url:string,"
                   "og_image_status:int,og_image_type:string,og_image_too_big:boolean",
     "agents": "ai:struct<status_code:int,text_length:int,challenge:boolean>,"

@@ -5,17 +5,27 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlscore.session import materialise
 from crawlscore.functions import robots
 from crawlscore.functions.text import strip
+from crawlscore.operators import ranking
 
 # --- image bytes ------------------------------------------------------------------------------
 
 
+def image_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length, type) of the files of a folder whose name fits the pattern, by their first bytes.
+
+    The scan hands on a file's head and forgets the rest of it, so files never meet a shuffle. Spark skips empty files.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "length", image_type(F.substring("content", 1, 12)).alias("type"))
+
+
 def image_type(content: Column) -> Column:
     """Picture type by the first bytes, '' when it is none we show."""
     head = F.hex(F.substring(content, 1, 12))
@@ -97,8 +107,9 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
         "audit_id", "url", "is_index", "posexplode_outer(locations) AS (loc_ord, loc)")
 
 
-def sitemap_info(starts: DataFrame, files: DataFrame) -> DataFrame:
-    """Follow sitemap indexes from each site's start addresses until no new address is listed.
+def sitemap_visits(starts: DataFrame, files: DataFrame) -> DataFrame:
+    """Follow sitemap indexes from each site's start addresses until no new address is listed: one row per address
+    read (audit_id, url, depth, queue, is_index, locations), in the order of (depth, queue).
 
     `starts` has audit_id, start_ord, url. Level by level, the addresses that were not read before
     meet the files; each level is written, so later ones do not repeat it.
@@ -117,11 +128,29 @@ def sitemap_info(starts: DataFrame, files: DataFrame) -> DataFrame:
         level = read.where("is_index").selectExpr(
             "audit_id", "posexplode(locations) AS (ord, next)", "queue").selectExpr(
             "audit_id", "next AS url", "concat(queue, array(ord)) AS queue")
-    order = Window.partitionBy("audit_id").orderBy("depth", "queue")
-    kept = visited.withColumn("rank", F.row_number().over(order))
-    return kept.groupBy("audit_id").agg(
-        F.expr("transform(array_sort(collect_list(struct(rank, url))), x -> x.url)")
-        .alias("sitemap_checked"),
+    return visited
+
+
+def sitemap_steps(visits: DataFrame) -> DataFrame:
+    """The visits as ranked rows: rank within the site, address, whether it could be read, and how many pages it lists."""
+    rows = ranking.ranked(visits.select("audit_id", "depth", "queue", "url", "is_index", F.size("locations").alias("listed")),
+                          ["audit_id"], ["depth", "queue"])
+    return rows.select("audit_id", "rank", "url", F.col("is_index").isNotNull().alias("good"),
+                       F.when(~F.col("is_index"), F.col("listed")).otherwise(0).cast("bigint").alias("urls"))
+
+
+def sitemap_totals(visits: DataFrame) -> DataFrame:
+    """Per site: was a sitemap found, and how many pages do all of them list. Nothing is collected."""
+    return visits.groupBy("audit_id").agg(
+        F.bool_or(F.col("is_index").isNotNull()).alias("sitemap_found"),
+        F.coalesce(F.sum(F.when(~F.col("is_index"), F.size("locations"))), F.lit(0)).alias("sitemap_urls"))
+
+
+def sitemap_info(starts: DataFrame, files: DataFrame) -> DataFrame:
+    """The totals and the list of addresses read, for sites whose list fits a row; `sitemap_steps` has it as rows."""
+    visited = sitemap_visits(starts, files)
+    return visited.groupBy("audit_id").agg(
+        F.expr("transform(array_sort(collect_list(struct(depth, queue, url))), x -> x.url)").alias("sitemap_checked"),
         F.bool_or(F.col("is_index").isNotNull()).alias("sitemap_found"),
         F.coalesce(F.sum(F.when(~F.col("is_index"), F.size("locations"))), F.lit(0))
         .alias("sitemap_urls"),

@@ -110,9 +110,9 @@ class Corpus:
         return AuditInputs(
             docs=self.docs, render_docs=self.render_docs, renders=self.renders,
             robots_files=self.derived("robots_files"),
-            sitemaps=pl.sitemap_info(
+            sitemaps=pl.sitemap_totals(pl.sitemap_visits(
                 pl.sitemap_starts(self.derived("robots_files"), self.derived("sites")),
-                self.derived("sitemap_files")),
+                self.derived("sitemap_files"))),
             site_probe=self.derived("site_probe"), agent_probe=self.derived("agent_probe"),
             url_status=self.url_status, cookies=self.derived("cookies"),
             device_views=self.device_views, axe_rules=self.derived("axe_rules"),

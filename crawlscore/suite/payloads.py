@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from crawlscore import fixed_values as fv
 from crawlscore.functions import robots
 from crawlscore.operators import ranking, robots_access
+from crawlscore.plans import audit, evidence
 from crawlscore.session import shared_folder
 from crawlscore.sources import derived as dv
 from crawlscore.sources import pages as pg
 from crawlscore.sources import payloads as pl
-from crawlscore.sources import sinks
+from crawlscore.sources import sinks, snapshots
 from crawlscore.suite.corpus import AS_OF, query
 from crawlscore.suite.oracle_pages import page_cte
 
@@ -102,19 +103,47 @@ def image_types(c):
         "event_id", pl.image_type(F.unhex(F.expr(_BYTES))).alias("type"))
 
 
-@query("A9", page_cte("robots_files", "sitemap_files") + f""",
+@query("A8_files", """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' ELSE '' END AS type,
+  1000 + s_suppkey % 50 AS length FROM supplier WHERE s_suppkey % 11 <> 0""")
+def stored_image_types(c):
+    """One file for each supplier, written by tasks in the shared folder and scanned again; other files are not read."""
+    folder = f"{shared_folder(c.spark)}/images-{uuid.uuid4().hex}"
+    heads = ["FFD8FFE0", "89504E470D0A1A0A", "474946383961", "524946460000000057454250", "3C737667", "52494646000000005741564500"]
+    rows = c.table("supplier").select(
+        F.concat("s_suppkey", F.when(F.col("s_suppkey") % 11 == 0, ".txt").otherwise(".img")).alias("name"),
+        F.rpad(F.unhex(F.get(F.array(*map(F.lit, heads)), (F.col("s_suppkey") % 6).cast("int"))),
+               (1000 + F.col("s_suppkey") % 50).cast("int"), F.lit(b"\x01")).alias("content"))
+    sinks.write_files(rows, folder).count()
+    found = pl.image_files(c.spark, folder, "*.img")
+    return found.select(F.regexp_extract("path", r"([0-9]+)[.]img$", 1).cast("bigint").alias("s_suppkey"), "type", "length")
+
+
+SITEMAP_READ = page_cte("robots_files", "sitemap_files") + f""",
 ok AS (SELECT * FROM robots_files WHERE {ROBOTS_OK}),
 starts AS (SELECT s.audit_id, x.u, x.i FROM sites s LEFT JOIN ok o ON o.audit_id = s.audit_id, LATERAL (SELECT unnest(CASE WHEN len(regexp_extract_all(coalesce(o.text, ''), '(?i)sitemap: *([^\\n]+)', 1)) > 0 THEN
   regexp_extract_all(o.text, '(?i)sitemap: *([^\\n]+)', 1) ELSE [concat(regexp_extract(s.home_url, '^(https?://[^/?#]+)', 1), '/sitemap.xml')] END) AS u, unnest(range(2)) AS i) AS x WHERE x.u IS NOT NULL),
 read AS (SELECT t.audit_id, t.u, t.i, f.text, f.ok AND regexp_matches(f.text, '</(urlset|sitemapindex)>$') AND NOT contains(f.text, 'DOCTYPE') AS good FROM starts t LEFT JOIN sitemap_files f ON f.audit_id = t.audit_id AND f.url = t.u),
 child AS (SELECT r.audit_id, regexp_extract(r.text, '<loc>([^<]*)</loc>', 1) AS u, 10 AS i FROM read r WHERE good AND contains(text, '<sitemapindex')),
-read2 AS (SELECT t.audit_id, t.u, t.i, f.text, f.ok AND regexp_matches(f.text, '</(urlset|sitemapindex)>$') AS good FROM child t LEFT JOIN sitemap_files f ON f.audit_id = t.audit_id AND f.url = t.u)
-SELECT audit_id, string_agg(u, ' ' ORDER BY i) AS checked, coalesce(bool_or(good), false) AS found, coalesce(sum(CASE WHEN good AND contains(text, '<urlset') THEN len(regexp_extract_all(text, '<loc>')) END), 0)::BIGINT AS urls FROM (SELECT * FROM read UNION ALL SELECT * FROM read2) AS a GROUP BY audit_id""")
+read2 AS (SELECT t.audit_id, t.u, t.i, f.text, f.ok AND regexp_matches(f.text, '</(urlset|sitemapindex)>$') AS good FROM child t LEFT JOIN sitemap_files f ON f.audit_id = t.audit_id AND f.url = t.u),
+steps AS (SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY i) AS rank, u AS url, coalesce(good, false) AS good,
+  CASE WHEN good AND contains(text, '<urlset') THEN len(regexp_extract_all(text, '<loc>')) ELSE 0 END::BIGINT AS urls FROM (SELECT * FROM read UNION ALL SELECT * FROM read2) AS a)"""
+
+
+@query("A9", SITEMAP_READ + " SELECT audit_id, rank, url, good, urls FROM steps")
 def sitemap_following(c):
+    return _sitemap_steps(c).select("audit_id", "rank", "url", "good", "urls")
+
+
+def _sitemap_steps(c):
     starts = pl.sitemap_starts(c.derived("robots_files"), c.derived("sites"))
-    return pl.sitemap_info(starts, c.derived("sitemap_files")).selectExpr(
-        "audit_id", "array_join(sitemap_checked, ' ') AS checked", "sitemap_found AS found",
-        "CAST(sitemap_urls AS BIGINT) AS urls")
+    return pl.sitemap_steps(pl.sitemap_visits(starts, c.derived("sitemap_files")))
+
+
+@query("A9_totals", SITEMAP_READ + """ SELECT audit_id, coalesce(bool_or(good), false) AS found, sum(urls)::BIGINT AS urls FROM steps GROUP BY audit_id""")
+def sitemap_sums(c):
+    starts = pl.sitemap_starts(c.derived("robots_files"), c.derived("sites"))
+    return pl.sitemap_totals(pl.sitemap_visits(starts, c.derived("sitemap_files"))).selectExpr(
+        "audit_id", "sitemap_found AS found", "CAST(sitemap_urls AS BIGINT) AS urls")
 
 
 @query("A10", page_cte(hrefs=True) + " SELECT page_id, ord AS link_ord, regexp_replace(link, '#.*$', '') AS link FROM link_rows")
@@ -257,24 +286,24 @@ def report_documents(c):
     categories = scoring.category_scores(c.results)
     health = scoring.health_scores(categories)
     folder = f"{shared_folder(c.spark)}/reports-{uuid.uuid4().hex}"
-    sinks.write_reports(sinks.reports(c.results, categories, health), folder, AS_OF[:10])
+    fixes = evidence.snippets(audit.findings(c.results), c.inputs)
+    sinks.write_reports(sinks.reports(c.results, categories, health, fixes), folder, AS_OF[:10])
     stored = sinks.read_reports(c.spark, folder)
     return stored.selectExpr(
         "audit_id", "health_score", "health_band", "size(categories) AS categories",
-        "size(results) AS results", "aggregate(results, 0L, (n, r) -> n + size(r.findings)) AS findings")
+        "size(results) AS results", "coalesce(size(snippets), 0) AS snippets", "aggregate(results, 0L, (n, r) -> n + size(r.findings)) AS findings")
 
 
 @query("A22", dv.with_clause("finding_rows") + """ SELECT audit_id, count(*) AS findings, max(finding_ord) AS newest FROM finding_rows
   WHERE audit_id NOT IN (SELECT audit_id FROM finding_rows WHERE value > 300) OR value > 100 GROUP BY audit_id""")
 def replaced_findings(c):
     """First all findings, then a second run that replaces some audits' findings."""
-    rows = c.derived("finding_rows").drop("ts", "value", "weight")
-    folder = f"{shared_folder(c.spark)}/findings-{uuid.uuid4().hex}"
-    sinks.replace_findings(rows, folder)
+    table = snapshots.FindingsTable(c.spark, f"{shared_folder(c.spark)}/findings-{uuid.uuid4().hex}")
+    table.replace(c.derived("finding_rows").drop("ts", "value", "weight"))
     again = c.derived("finding_rows").where("value > 300").select("audit_id").distinct()
     fresh = c.derived("finding_rows").where("value > 100").join(again, "audit_id", "left_semi")
-    sinks.replace_findings(fresh.drop("ts", "value", "weight"), folder)
-    return c.spark.read.parquet(folder).groupBy("audit_id").agg(
+    table.replace(fresh.drop("ts", "value", "weight"))
+    return table.read().groupBy("audit_id").agg(
         F.count("*").alias("findings"), F.max("finding_ord").alias("newest"))
 
 
@@ -285,6 +314,16 @@ def lead_export(c):
     return sinks.leads_export(c.derived("leads"), c.derived("checkups"))
 
 
+@query("A23_sites", dv.with_clause("leads", "checkups") + """ SELECT l.id AS lead_id, CASE WHEN l.name LIKE '=%' THEN concat('''', l.name) ELSE l.name END AS name,
+  row_number() OVER (PARTITION BY l.id ORDER BY c.created_at DESC, c.id DESC) AS rank, c.domain AS website,
+  CAST(first_value(c.health_score) OVER (PARTITION BY l.id ORDER BY c.created_at DESC, c.id DESC) AS VARCHAR) AS latest_health_score
+  FROM leads l JOIN checkups c ON c.lead_id = l.id""")
+def lead_sites(c):
+    """The export as ranked rows, one per lead and audited website."""
+    rows = sinks.lead_sites(c.derived("leads"), c.derived("checkups"))
+    return rows.where("rank IS NOT NULL").select("lead_id", "name", "rank", "website", F.nullif("latest_health_score", F.lit("")).alias("latest_health_score"))
+
+
 @query("A24", """SELECT event_id, CAST(floor(value) AS INT) AS health_score FROM events WHERE event_type NOT IN ('error', 'click')""")
 def documents_read_back(c):
     raw = c.table("events").selectExpr(

@@ -172,6 +172,13 @@ def signs(c):
         F.size("healthy").cast("bigint").alias("healthy"), "headline")
 
 
+@query("H5_rows", FINDINGS + f""" SELECT audit_id, category, kind, row_number() OVER (PARTITION BY audit_id, category, kind
+  ORDER BY CASE WHEN kind = 'problem' THEN {SEV} * 10 + {IMP} END, check_ord, finding_ord) AS rank, concat(check_id, '/', code) AS name FROM (
+  SELECT *, CASE severity WHEN 'info' THEN 'note' WHEN 'pass' THEN 'healthy' ELSE 'problem' END AS kind FROM finding_rows) AS x""")
+def sign_rows(c):
+    return tr.vital_sign_rows(_findings(c))
+
+
 @query("H6", FINDINGS + PLAN + f""", issues AS (SELECT audit_id, check_id, finding_ord, {QUICK} AS quick_win, CASE WHEN {QUICK} THEN 0 ELSE 1 END AS part, plan_ord AS place FROM plan
   UNION ALL SELECT audit_id, check_id, finding_ord, false, 2, row_number() OVER (PARTITION BY audit_id ORDER BY check_ord, finding_ord) FROM finding_rows WHERE severity = 'info')
 SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY part, place) AS issue_ord, concat(replace(replace(check_id, '.', '-'), '_', '-'), '-', row_number() OVER (PARTITION BY audit_id, check_id ORDER BY part, place)) AS key, quick_win FROM issues""")

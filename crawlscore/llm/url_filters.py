@@ -4,6 +4,8 @@ Only DataFrame functions. Each distinct (host, path) is expanded into the expres
 could have, as deep as the deepest rule; expressions meet rules in an equi-join on the first 32 bits
 of their digests; the full digest confirms, and the longest rule wins.
 
+A rule fits its host and all subdomains where the url's path starts with the rule's; an empty path fits all.
+
 Defined results: a url that is null or has no '://' has an empty host and path, which no rule fits.
 Repeated rows are judged alike. Of equally long rules that differ the last by code point wins, of equal
 ones the verdict 'allow'. Extra columns of the pages are kept, whatever their names.
@@ -51,28 +53,27 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def _prepared(rules: DataFrame) -> DataFrame:
-    """Rules with digest, short digest and rank; rule paths end with '/' or name one whole path."""
+    """Rules with digest, short digest and rank."""
     one = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     digest = _digest(F.col("host"), F.col("path"))
     return one.select(
         F.concat("host", "path").alias("rule"), "verdict", digest.alias("digest"), _short(digest).alias("short"),
         F.length(F.concat("host", "path")).alias("rank"), F.size(F.split("host", r"\.")).alias("labels"),
-        (F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))).alias("slashes"))
+        F.length("path").alias("letters"))
 
 
-def _expressions(urls: DataFrame, labels: int, slashes: int) -> DataFrame:
+def _expressions(urls: DataFrame, labels: int, letters: list[int]) -> DataFrame:
     """(host, path) with one row for each host suffix and path prefix that a rule could name.
 
-    Suffixes have at most as many labels, and prefixes at most as many slashes, as any rule has;
-    beyond these nothing can match.
+    Suffixes have at most as many labels as any rule has, and prefixes the lengths of the rules' paths; nothing
+    else can match.
     """
     suffixes = F.expr(
         f"transform(sequence(1, least({labels}, size(split(host, '[.]')))), k -> substring_index(host, '.', -k))")
-    prefixes = F.expr(
-        f"array_append(transform(filter(sequence(1, {slashes}), k -> size(split(path, '/')) > k), "
-        "k -> concat(substring_index(path, '/', k), '/')), path)")
+    lengths = ", ".join(map(str, letters))
+    prefixes = F.expr(f"transform(filter(array({lengths}), k -> k <= length(path)), k -> left(path, k))")
     return (urls.where("host <> ''").withColumn("suffix", F.explode(suffixes))
-            .withColumn("prefix", F.explode(F.array_distinct(prefixes))))
+            .withColumn("prefix", F.explode(prefixes)))
 
 
 def judged(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = OTHERWISE) -> DataFrame:
@@ -82,11 +83,11 @@ def judged(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str
     threshold, and splits hot urls in a sort-merge join.
     """
     prepared = common.materialise(_prepared(rules), "url-rules")
-    deepest = prepared.agg(F.max("labels"), F.max("slashes")).head()
+    deepest = prepared.agg(F.max("labels"), F.sort_array(F.collect_set("letters"))).head()  # at most a longest path's length
     own = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"),
                        host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     urls = own.select("host", "path").distinct()
-    asked = _expressions(urls, deepest[0] or 0, deepest[1] or 0) if deepest[0] else urls.where("false").selectExpr(
+    asked = _expressions(urls, deepest[0], deepest[1]) if deepest[0] else urls.where("false").selectExpr(
         "*", "host AS suffix", "path AS prefix")
     digest = _digest(F.col("suffix"), F.col("prefix"))
     asked = asked.select("host", "path", digest.alias("asked"), _short(digest).alias("short"))

@@ -133,7 +133,7 @@ def test_urls(spark):
     assert "Python" not in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("rule, fits", [("a/b/", True), ("a/b/c", True), ("a/", True), ("a/b", False)])
+@pytest.mark.parametrize("rule, fits", [("a/b/", True), ("a/b/c", True), ("a/", True), ("a/b", True), ("a", True), ("a/b/cd", False), ("a/c", False)])
 def test_whole_paths_and_folders(spark, rule, fits):
     rules = spark.createDataFrame([(rule[:1], rule[1:], "block"), (rule[:1], rule[1:], "allow")], "host string, path string, verdict string")
     page = spark.createDataFrame([("http://a/b/c",)], "url string")

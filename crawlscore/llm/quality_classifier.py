@@ -173,20 +173,21 @@ def _rates(features: DataFrame, evidence: Evidence) -> tuple[DataFrame, float]:
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-           path: str = "lang", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """`row` (the document's own columns), evidence, host_rate, path_rate, posterior and kept.
+           path: str = "lang", label: str = "quality", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """`row` (the document's own columns, or those of `keep`), evidence, host_rate, path_rate, posterior and kept.
 
-    Texts are read twice and never shuffled: once for the bins that all statistics need, once to score.
+    Texts are read once and never shuffled: rows and bins are written, and statistics and scores come from there.
     """
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("key"),
+    columns = docs.columns if keep is None else keep
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{key}`").alias("key"),
                       F.col(f"`{host}`").alias("host"), F.col(f"`{path}`").alias("path"),
                       F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     binned = _bins(own, "text").drop("text")
-    features = common.materialise(binned.select("key", "host", "path", "bins"), "features")
+    features = common.materialise(binned.select("row", "key", "host", "path", "bins"), "features")
     evidence = fit(features, labels, key, label)
     rates, strength = _rates(features, evidence)
     rates = rates.withColumnsRenamed({"host": "of_host", "path": "of_path"})
-    scored = binned.withColumn("evidence", evidence.column()).join(
+    scored = features.withColumn("evidence", evidence.column()).join(
         rates, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
     alone = F.round(probability(F.col("evidence") + math.log(evidence.good / (1 - evidence.good))) * UNIT).cast("bigint")
     path_rate = ((F.col("s") - alone) / UNIT + strength * F.col("host_rate")) / (F.col("n") - 1 + strength)
@@ -205,5 +206,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its evidence, its site's rates, the posterior and the decision."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return judged(docs, common.table(spark, sf_dir, "labels")).select(
+    return judged(docs, common.table(spark, sf_dir, "labels"), keep=["doc_id"]).select(
         "row.doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")

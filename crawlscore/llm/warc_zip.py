@@ -1,9 +1,10 @@
 """Web archives in ZIP packages: WARC records written, located by the ZIP directories, range-read.
 
-A task writes one package with three stored members: the gzip-compressed records one after another, an
-index with offset and length of each, and a short description. A reader parses the end record (with
-its ZIP64 forms) and the central directory, finds the members' places, and reads index and records
-by range. Nothing is extracted; only stored members can be read this way.
+A task writes packages of three stored members: the gzip-compressed records one after another, an
+index with offset and length of each in lines of one width, and a short description. A reader parses the
+end record (with its ZIP64 forms) and the central directory, finds the members' places, and reads the
+asked lines of the index and their records by range. A package is closed when its records reach
+PACKAGE_BYTES, so that a task holds a bounded index. Nothing is extracted; only stored members can be read this way.
 
 Of records with equal payloads that with the smallest id is the response, the others revisit it.
 
@@ -36,6 +37,8 @@ RECORDS, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapacka
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records that one task reads, and bytes that it asks for at a time.
 READ_RECORDS, READ_BYTES = 4_000, 4 << 20
+#: Compressed bytes of records at which a package is closed, and bytes of a line of its index.
+PACKAGE_BYTES, INDEX_WIDTH = 64 << 20, 160
 LEVEL = 3
 _NAME = "urn:x-page:"
 
@@ -144,10 +147,13 @@ def directory(system: fs.FileSystem, path: str) -> dict[str, Member]:
     return found
 
 
-def index(system: fs.FileSystem, path: str, members: dict[str, Member]) -> list[tuple[int, int]]:
-    """Offset and length of each record within the records' member."""
+def index(system: fs.FileSystem, path: str, members: dict[str, Member], first: int = 0,
+          last: int | None = None) -> list[tuple[int, int]]:
+    """Offset and length of the records first..last-1 within the records' member."""
     member = members[INDEX]
-    lines = storage.read_range(system, path, member.start, member.size).decode().splitlines()
+    begin = min(first * INDEX_WIDTH, member.size)
+    end = member.size if last is None else min(last * INDEX_WIDTH, member.size)
+    lines = storage.read_range(system, path, member.start + begin, end - begin).decode().splitlines()
     entries = [json.loads(line.split(" ", 2)[2]) for line in lines]
     return [(e["offset"], e["length"]) for e in entries]
 
@@ -155,7 +161,7 @@ def index(system: fs.FileSystem, path: str, members: dict[str, Member]) -> list[
 def records(system: fs.FileSystem, path: str, first: int = 0, last: int | None = None) -> Iterator[bytes]:
     """The records first..last-1 of a package; neighbours are fetched together."""
     members = directory(system, path)
-    places = index(system, path, members)[first:last]
+    places = index(system, path, members, first, last)
     base, k = members[RECORDS].start, 0
     while k < len(places):
         begin, stop, j = places[k][0], sum(places[k]), k + 1
@@ -187,8 +193,39 @@ def _with_first_copy(pages: DataFrame, page: str, url: str, payload: str, least:
     return joined.select("page", "url", "payload", refers.alias("refers_to"))
 
 
+class _Package:
+    """A package being written."""
+
+    def __init__(self, system: fs.FileSystem, base: str, date: str):
+        _, self.name = storage.attempt_name("pages", ".wacz")
+        self.date, self.place, self.lines = date, 0, []
+        system.create_dir(base, recursive=True)
+        self.target = system.open_output_stream(f"{base}/{self.name}")
+        self.package = zipfile.ZipFile(self.target, "w", zipfile.ZIP_STORED)
+        self.member = self.package.open(RECORDS, "w", force_zip64=True)
+
+    def add(self, page: int | None, raw: bytes) -> None:
+        entry = json.dumps({"page": page, "offset": self.place, "length": len(raw)})
+        line = f"- {self.date} {entry}".ljust(INDEX_WIDTH - 1) + "\n"
+        if len(line) != INDEX_WIDTH:
+            raise ValueError(f"date too long for the index: {self.date}")
+        self.member.write(raw)
+        self.lines.append(line)
+        self.place += len(raw)
+
+    def close(self) -> pa.RecordBatch:
+        """The package's row of the manifest."""
+        n = len(self.lines)
+        self.member.close()
+        self.package.writestr(INDEX, "".join(self.lines))
+        self.package.writestr(ABOUT, json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "records": n}))
+        self.package.close()
+        self.target.close()
+        return pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([n], pa.int64())], names=["file", "n_records"])
+
+
 def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", payload: str = "html",
-          least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+          least: int = 0, date: str = "2024-01-01T00:00:00Z", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes the packages and returns their manifest (file, n_records) as a written table.
 
     `least` is the number of bytes from which equal payloads are written once.
@@ -196,33 +233,20 @@ def write(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = storage.opened(folder)
-        _, name = storage.attempt_name("pages", ".wacz")
-        lines: list[str] = []
-        package = target = member = None
-        place = 0
+        package = None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("page", "url", "payload", "refers_to")}
                 if package is None:
-                    system.create_dir(base, recursive=True)
-                    target = system.open_output_stream(f"{base}/{name}")
-                    package = zipfile.ZipFile(target, "w", zipfile.ZIP_STORED)
-                    member = package.open(RECORDS, "w", force_zip64=True)
+                    package = _Package(system, base, date)
                 pack = zlib.compressobj(LEVEL, wbits=31)
                 raw = record(row["page"], row["url"], row["payload"], row["refers_to"], date)
-                raw = pack.compress(raw) + pack.flush()
-                member.write(raw)
-                lines.append(f"- {date} " + json.dumps({"page": row["page"], "offset": place, "length": len(raw)}) + "\n")
-                place += len(raw)
+                package.add(row["page"], pack.compress(raw) + pack.flush())
+                if package.place >= package_bytes:
+                    yield package.close()
+                    package = None
         if package is not None:
-            member.close()
-            package.writestr(INDEX, "".join(lines))
-            package.writestr(ABOUT, json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "records": len(lines)}))
-            package.close()
-            target.close()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] if lines else [], pa.string()), pa.array([len(lines)] if lines else [], pa.int64())],
-            names=["file", "n_records"])
+            yield package.close()
 
     rows = _with_first_copy(pages, page, url, payload, least)
     return common.materialise(rows.mapInArrow(run, "file string, n_records bigint"), "package-manifest")

@@ -127,10 +127,29 @@ def test_archive_round_trip(spark, least):
     key = lambda r: tuple((x is not None, x or 0) for x in r if not isinstance(x, str)) + tuple(x for x in r if isinstance(x, str))
     assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
     assert {r.payload.decode() for r in got if r.record_type == "response"} == {h or "" for _, _, h in PAGES}
+    small = common.new_folder(spark, "packages")
+    manifest = wz.write(pages, small, least=least, package_bytes=1)  # a package for each record
+    assert [r.n_records for r in manifest.collect()] == [1] * len(PAGES)
+    assert sorted((tuple(r)[:5] for r in wz.read(spark, small, manifest).collect()), key=key) == sorted(want, key=key)
     empty = common.new_folder(spark, "packages")
     assert wz.read(spark, empty, wz.write(pages.limit(0), empty)).count() == 0
 
 
+def test_spans_read_their_part_of_the_index(spark):
+    n = 2 * wz.READ_RECORDS + 7
+    pages = spark.range(n).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html").coalesce(1)
+    folder = common.new_folder(spark, "packages")
+    manifest = wz.write(pages, folder)
+    got = wz.read(spark, folder, manifest).selectExpr("page", "cast(payload AS string) AS html").collect()
+    assert sorted((r.page, r.html) for r in got) == [(i, f"page {i}") for i in range(n)]
+    system, base = wz.storage.opened(folder)
+    path = f"{base}/{manifest.head().file}"
+    members = wz.directory(system, path)
+    places = wz.index(system, path, members)
+    assert len(places) == n and wz.index(system, path, members, 5, 9) == places[5:9]
+    assert wz.index(system, path, members, n - 1, n + 9) == places[-1:] and wz.index(system, path, members, n, n + 1) == []
+
+
 def package(path, comment=b""):
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
         z.comment = comment

@@ -262,9 +262,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents with one of each group left, by its own columns; of repeated rows one stays.
+    """The documents with one of each group left, by its own columns.
 
-    Only rows that share an id meet in a shuffle with their texts. The ids to leave out are broadcast
+    Of rows with the same id one stays: that whose JSON form has the smallest SHA-256, so reruns agree.
+    Rows without an id all stay. Only rows that share an id meet in a shuffle with their texts. The ids to leave out are broadcast
     up to BROADCAST_ROWS; beyond that Spark joins them as it sees fit.
     """
     found = linked(docs, key, **options).where("key IS NOT NULL").groupBy("key").agg(
@@ -277,7 +278,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
         return F.broadcast(chosen) if few else chosen
 
     once = docs.join(keys("true"), key, "left_anti")
-    again = docs.join(keys("kept"), key, "left_semi").dropDuplicates([key])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.join(keys("kept"), key, "left_semi").select(whole.alias("row"))
+    again = again.groupBy(F.col(f"row.`{key}`")).agg(
+        F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row.*")
     return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

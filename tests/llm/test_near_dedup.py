@@ -86,6 +86,25 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert nd.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_of_rows_with_one_id_the_same_one_stays(spark):
+    rows = [(7, f"text {k} of an id that {k} rows share") for k in range(20)] + [(7, None), (8, "another text of another id")]
+    found = set()
+    for k in (1, 5):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id bigint, text string").repartition(k)
+        found.add(tuple(sorted((r.doc_id, r.text or "") for r in nd.deduplicated(docs).collect())))
+    assert len(found) == 1 and [i for i, _ in found.pop()] == [7, 8]
+
+
+def test_empty_and_very_long_texts(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert nd.linked(empty).columns == ["key", "n_shingles", "component_id", "kept"] and nd.linked(empty).count() == 0
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(4, long), (2, long + " end"), (3, "z" * 2_000_000), (1, None), (5, "")]
+    got = {r.key: (r.n_shingles, r.component_id, r.kept) for r in
+           nd.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {4: (299_996, 2, False), 2: (299_997, 2, True), 3: (1, 3, True), 1: (0, 1, True), 5: (0, 5, True)}
+
+
 def test_rows_with_one_id_are_one_document(spark):
     texts = ["alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda mu"]
     rows = [(7, texts[0]), (7, texts[1]), (9, texts[0]), (3, texts[1])]

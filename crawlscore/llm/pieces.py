@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from crawlscore.llm import common, ragged
 
 SPACE = "▁"
-#: Units a worker remembers in each of two generations.
-REMEMBERED = 100_000
+#: Units a worker remembers in each of two generations, and the bytes of units and codes therein.
+REMEMBERED, REMEMBERED_BYTES = 100_000, 8 << 20
+#: Pairs of pieces whose verdict a worker remembers before it begins anew.
+REMEMBERED_PAIRS = 1 << 18
 #: Bytes of text handled at a time.
 SLICE_BYTES = 2 << 20
 _ODD_SPACING = f"^$|  |^ | $|{SPACE}"
@@ -90,7 +92,7 @@ class Pieces:
         self.leads = np.array([not special[i] and names[i].startswith(SPACE) for i in range(size)])
         self.is_control = np.array([model.is_control(i) for i in range(size)])
         self.is_byte = np.array([model.is_byte(i) for i in range(size)])
-        self.memo = ragged.Memo(self.encode_units, "<u2" if size <= 1 << 16 else "<u4", REMEMBERED)
+        self.memo = ragged.Memo(self.encode_units, "<u2" if size <= 1 << 16 else "<u4", REMEMBERED, REMEMBERED_BYTES)
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves: the best-ranked neighbours first, the leftmost of equals."""
@@ -111,6 +113,8 @@ class Pieces:
         key = first << 32 | second
         known = self.compatible.get(key)
         if known is None:
+            if len(self.compatible) >= REMEMBERED_PAIRS:
+                self.compatible.clear()
             a, b = self.names[first], self.names[second]
             known = self.compatible[key] = self.merged(a + b) == [a, b]
         return known

@@ -68,19 +68,21 @@ def gather(codes: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[n
 class Memo:
     """Encoded words kept between batches of a worker.
 
-    `encode` turns a list of unseen words into byte strings. Two generations of about `limit` words
-    are kept: when the young one is full it becomes the old one, and words met again move over.
+    `encode` turns a list of unseen words into byte strings. Two generations are kept: when the young
+    one holds `limit` words, or `limit_bytes` bytes of words and codes, it becomes the old one, and words
+    met again move over. Looked at before each list, so a generation is beyond its bounds by one list at most.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, limit: int):
-        self.encode, self.dtype, self.limit = encode, np.dtype(dtype), limit
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], dtype: str, limit: int, limit_bytes: int):
+        self.encode, self.dtype, self.limit, self.limit_bytes = encode, np.dtype(dtype), limit, limit_bytes
+        self.held = 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def runs(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Starts and values of the runs of the distinct words."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        if len(self.young) >= self.limit or self.held >= self.limit_bytes:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         unseen = []
         for word in distinct:
@@ -90,8 +92,11 @@ class Memo:
                     unseen.append(word)
                 else:
                     young[word] = known
+                    self.held += len(word) + len(known)
         if unseen:
-            young.update(zip(unseen, self.encode(unseen)))
+            fresh = self.encode(unseen)
+            young.update(zip(unseen, fresh))
+            self.held += sum(map(len, unseen)) + sum(map(len, fresh))
         parts = [young[w] for w in distinct]
         starts = np.zeros(len(parts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)), out=starts[1:])

@@ -6,6 +6,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -72,6 +74,58 @@ def test_mix_repeats_whole_rows(stages):
     assert got == +want and max(got.values()) > 1
 
 
+def words(seed, n):
+    return " ".join(f"{w} {seed}x{k}," for k, w in zip(range(n), ["the", "of", "river", "and", "north"] * n))
+
+
+LONG = words("long", 60_000)
+ODD = [  # doc_id, text, lang, source
+    (1, words("a", 60), "en", "s1"), (2, words("a", 60), "en", "s1"), (5, words("b", 60), None, None), (5, words("b", 60), None, None),
+    (7, words("c", 60), "en", "s2"), (7, words("d", 60), "en", "s2"), (None, words("e", 60), "en", "s2"), (None, None, None, None),
+    (8, "", "en", "s1"), (9, None, "en", None), (10, "too short", None, "s1"), (11, LONG, "en", "s3"), (3, LONG + " end", "en", "s3")]
+
+
+def folder_of(path, rows, labels):
+    clash = [("row", pa.int64()), ("key", pa.string()), ("kept", pa.bool_()), ("size", pa.string()), ("copies", pa.int32())]
+    columns = {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(
+        [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())])}
+    columns |= {"n_chars": pa.array([len(r[1] or "") for r in rows], pa.int64())}
+    columns |= {n: pa.nulls(len(rows), t) for n, t in clash}
+    pq.write_table(pa.table(columns), path / "documents.parquet")
+    label = {n: pa.array([r[k] for r in labels], pa.int64()) for k, n in enumerate(("doc_id", "quality"))}
+    pq.write_table(pa.table(label), path / "labels.parquet")
+    return str(path)
+
+
+def test_odd_rows(spark, tmp_path):
+    folder = folder_of(tmp_path, ODD, [])
+    docs = common.table(spark, folder, "documents")
+    good = corpus_pipeline.classify(spark, docs, folder)
+    assert rows_of(good) == rows_of(docs)  # no labels, no verdict
+    clean = corpus_pipeline.apply_rules(spark, good, folder)
+    assert clean.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in clean.collect()) == sorted(r[0] or 0 for r in ODD if len((r[1] or "").split()) >= 50)
+    single = common.materialise(corpus_pipeline.deduplicate(spark, clean, folder), "tested")
+    assert single.columns == docs.columns and not rows_of(single) - rows_of(docs)
+    assert sorted(r.doc_id or 0 for r in single.collect()) == [0, 1, 3, 5, 7]
+    assert rows_of(single) == rows_of(corpus_pipeline.deduplicate(spark, clean.repartition(5), folder))
+    mixed = corpus_pipeline.mix(spark, single, folder)
+    assert mixed.columns == docs.columns and set(rows_of(mixed)) <= set(rows_of(single))
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, folder).collect()) == encoded(mixed, library)
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = folder_of(tmp_path, [], [(1, 1), (2, None)])
+    docs = common.table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert rows_of(stage(spark, docs, folder)) == Counter() and stage(spark, docs, folder).columns == docs.columns
+    result = corpus_pipeline.run(spark, folder)
+    assert result.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and result.count() == 0
+
+
 def test_encoding_and_run(spark, stages):
     import sentencepiece
 

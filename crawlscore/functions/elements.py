@@ -259,17 +259,19 @@ def described(element: str = "e") -> str:
 
 
 def shot(element: str, page_url: str) -> str:
-    """Where an element is: page, CSS path, identifying attribute, label."""
+    """Where an element is: page, CSS path, identifying tag, attribute and words, label."""
     key = (
         f"CASE WHEN {element}.tag IN ('img', 'iframe', 'video', 'audio') THEN 'src' "
         f"WHEN {element}.tag = 'a' THEN 'href' "
         f"WHEN {element}.tag IN ('input', 'select', 'textarea') THEN 'name' END"
     )
     value = f"coalesce({element}.attrs[{key}], '')"
+    words = f"left(array_join(filter(split(coalesce({element}.text, ''), '\\\\s+'), w -> w <> ''), ' '), 40)"
     return (
         f"named_struct('page', {page_url}, 'selector', {element}.path, "
+        f"'match_tag', CASE WHEN {value} <> '' THEN {element}.tag ELSE '' END, "
         f"'match_attr', CASE WHEN {value} <> '' THEN {key} ELSE '' END, 'match_value', {value}, "
-        f"'label', {described(element)})"
+        f"'match_text', {words}, 'label', {described(element)})"
     )
 
 

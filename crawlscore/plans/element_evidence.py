@@ -81,7 +81,7 @@ def _flagged(pages: DataFrame, lists: dict[tuple[str, str], str], outline: bool,
     return rows.withColumns({"lead": F.lit(""), **columns})
 
 
-def _shared_h1s(inputs: AuditInputs, seen: DataFrame | None) -> DataFrame:
+def shared_h1s(inputs: AuditInputs, seen: DataFrame | None) -> DataFrame:
     """(audit_id, h1): main headings that occur twice in a site; a homepage counts as seen instead of as sent."""
     def texts(df: DataFrame, h1s: str, weight: int) -> DataFrame:
         return df.selectExpr("audit_id", f"explode({h1s}) AS h1", f"{weight} AS n").where("h1 <> ''").withColumn("h1", F.lower("h1"))
@@ -92,7 +92,7 @@ def _shared_h1s(inputs: AuditInputs, seen: DataFrame | None) -> DataFrame:
     return rows.groupBy("audit_id", "h1").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
 
 
-def _seen_homes(inputs: AuditInputs) -> DataFrame | None:
+def seen_homes(inputs: AuditInputs) -> DataFrame | None:
     """Homepages as the browser left them, with the key they have among the pages and the main headings as sent."""
     if inputs.render_docs is None:
         return None
@@ -102,7 +102,7 @@ def _seen_homes(inputs: AuditInputs) -> DataFrame | None:
     return pages.withColumn("final_url", F.col("sent_url")).withColumn("several_h1s", F.expr("size(sent_h1s) > 1"))
 
 
-def _swap(rows: DataFrame, seen_rows: DataFrame | None, seen: DataFrame | None) -> DataFrame:
+def swap(rows: DataFrame, seen_rows: DataFrame | None, seen: DataFrame | None) -> DataFrame:
     """Rows of the homepage as sent give way to those of the homepage as seen."""
     if seen is None:
         return rows
@@ -121,7 +121,7 @@ def _pointing(inputs: AuditInputs, seen: DataFrame | None, check: str) -> DataFr
         return spots.withColumn("lead", value).selectExpr(
             "audit_id", "page_key", "final_url", "place", "lead", f"{el.shot('e', 'final_url')} AS shot").where("lead IS NOT NULL")
 
-    hits = _swap(aimed(inputs.docs), None if seen is None else aimed(seen), seen).join(bad, ["audit_id", "lead"], "left_semi")
+    hits = swap(aimed(inputs.docs), None if seen is None else aimed(seen), seen).join(bad, ["audit_id", "lead"], "left_semi")
     first = hits.groupBy("audit_id", "lead").agg(
         F.min_by(F.struct("page_key", "final_url", "place", "shot"), F.struct("page_key", "place")).alias("s"))
     return first.select("audit_id", F.lit(check).alias("check_id"), F.lit("broken").alias("code"), "lead", "s.*").select(*COLUMNS)
@@ -132,15 +132,15 @@ def finding_elements(inputs: AuditInputs, findings: DataFrame, checks: list[str]
     def chosen(check: str) -> bool:
         return checks is None or check in checks
 
-    seen = _seen_homes(inputs)
+    seen = seen_homes(inputs)
     lists = {k: v for k, v in SEEN.items() if chosen(k[0])}
     outline = chosen(OUTLINE_CHECK[0])
     parts = []
     if lists or outline:
-        rows = _swap(_flagged(inputs.docs, lists, outline), None if seen is None else _flagged(seen, lists, outline), seen)
+        rows = swap(_flagged(inputs.docs, lists, outline), None if seen is None else _flagged(seen, lists, outline), seen)
         if outline:
             # rows that depend on no other page are spread by page, not gathered under one empty key
-            shared = _shared_h1s(inputs, seen).withColumnRenamed("h1", "text").withColumn("is_shared", F.lit(True))
+            shared = shared_h1s(inputs, seen).withColumnRenamed("h1", "text").withColumn("is_shared", F.lit(True))
             rows = rows.withColumn("text", F.coalesce("h1", F.concat(F.lit("\0"), F.col("page_key.id").cast("string"))))
             rows = rows.join(shared, ["audit_id", "text"], "left").where("h1 IS NULL OR is_shared")
         parts.append(rows.select(*COLUMNS))

@@ -84,6 +84,22 @@ def _own_numbers(inputs: AuditInputs) -> DataFrame:
         "audit_id", F.when(F.col("seen").isNotNull(), F.col("seen.number")).otherwise(F.col("crawled.number")).alias("number"))
 
 
+def _unlinked_numbers(inputs: AuditInputs) -> DataFrame:
+    """The first number that each homepage shows without a link to call it, as the browser saw the page where it did."""
+    wanted = {"tel_links", "phones"}
+    same = tx.same_number
+
+    def first(df: DataFrame) -> DataFrame:
+        alone = F.filter("phones", lambda p: ~F.exists("tel_links", lambda t: same(tx.digits(p), tx.digits(t))))
+        return layered(df, FEATURES, wanted).withColumn("phone", F.get(alone, F.lit(0)))
+
+    homes = first(inputs.docs).groupBy("audit_id").agg(F.min_by(F.struct("phone"), "page_key").alias("sent"))
+    if inputs.render_docs is not None:
+        seen = first(inputs.render_docs).groupBy("audit_id").agg(F.max(F.struct("phone")).alias("seen"))
+        homes = homes.join(seen, "audit_id", "left").withColumn("sent", F.coalesce("seen", "sent"))
+    return homes.select("audit_id", "sent.phone").where("phone IS NOT NULL")
+
+
 def _snippet(check_id: str, order: int, title, code, note) -> Column:
     return F.struct(F.lit(check_id).alias("check_id"), F.lit(order).alias("snippet_ord"),
                     *[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in (("title", title), ("code", code), ("note", note))])
@@ -92,7 +108,8 @@ def _snippet(check_id: str, order: int, title, code, note) -> Column:
 def snippets(findings: DataFrame, inputs: AuditInputs) -> DataFrame:
     """(audit_id, check_id, snippet_ord, title, code, note): fixes to paste for the findings at hand.
 
-    A chat link with the site's own number, the mail records that a domain lacks, and a frame for questions and answers.
+    A chat link with the site's own number, a link that dials a number shown as plain text, the mail records that a domain lacks,
+    a security.txt, and frames for questions and for a customer's words. Blocks by page are in `page_fixes`.
     Only a site with the finding gets its fix; facts that are unknown leave placeholders.
     """
     reported = findings.where(F.col("severity") != "pass").select("audit_id", "check_id").distinct()
@@ -108,9 +125,22 @@ def snippets(findings: DataFrame, inputs: AuditInputs) -> DataFrame:
         "agentic.answer_ready", 1, "Questions and answers",
         "<section>\n  <h2>Frequently asked questions</h2>\n  <details>\n    <summary>REPLACE: a question?</summary>\n"
         "    <p>REPLACE: a short answer.</p>\n  </details>\n</section>", "One block for each question that customers ask.").alias("s"))
-    parts = [chat, answers]
+    quote = own.select("audit_id", _snippet(
+        "best_practices.social_proof", 1, "A customer's words",
+        "<figure>\n  <blockquote>REPLACE: what the customer said.</blockquote>\n  <figcaption>REPLACE: name and business</figcaption>\n</figure>",
+        "Style it as you like; three short ones say more than a long one.").alias("s"))
+    dial = F.when(F.col("phone").startswith("+"), F.concat(F.lit("+"), F.ltrim(tx.digits(F.col("phone")), F.lit("0")))).otherwise(tx.digits(F.col("phone")))
+    call = _unlinked_numbers(inputs).select("audit_id", _snippet(
+        "seo.click_to_call", 1, "A link that dials", F.concat(F.lit('<a href="tel:'), dial, F.lit('">'), "phone", F.lit("</a>")),
+        "It looks the same; phones dial when it is tapped.").alias("s"))
+    parts = [chat, answers, quote, call]
     if inputs.security_facts is not None:
         facts = inputs.security_facts
+        year = F.year(F.lit(inputs.as_of).cast("timestamp")) + 1
+        parts.append(facts.select("audit_id", _snippet(
+            "best_practices.security_txt", 1, "/.well-known/security.txt", F.concat(
+                F.lit("Contact: mailto:security@"), "domain", F.lit("\nExpires: "), year.cast("string"), F.lit("-12-31T23:59:59Z")),
+            "Use an address that somebody reads, and renew the date in time.").alias("s")))
         if "has_mx" not in facts.columns:
             facts = facts.withColumn("has_mx", F.lit(None).cast("boolean"))
         lacks_spf = F.coalesce("spf", F.lit("")) == ""

@@ -71,7 +71,7 @@ _DOC_ARROW = [
 
 class _Node:
     __slots__ = ("tag", "attrs", "parent", "nth", "counts", "chunks", "alts", "first_alt",
-                 "children", "in_head", "in_label", "form", "ord")
+                 "children", "in_head", "in_label", "form", "ord", "place")
 
     def __init__(self, tag: str, attrs: dict, parent: "_Node | None", order: int):
         self.tag, self.attrs, self.parent, self.ord = tag, attrs, parent, order
@@ -81,7 +81,9 @@ class _Node:
         self.first_alt: str | None = None
         self.children: list = []         # nodes and text directly below
         self.nth = 1
+        self.place = 0                   # among the parent's children
         if parent is not None:
+            self.place = len(parent.children)
             self.nth = parent.counts.get(tag, 0) + 1
             parent.counts[tag] = self.nth
             parent.children.append(self)
@@ -245,8 +247,8 @@ def _all_text(item: "str | _Node") -> str:
 
 def _next_text(node: _Node) -> str:
     siblings = node.parent.children
-    for item in siblings[siblings.index(node) + 1:]:
-        text = _collapse(_all_text(item))
+    for k in range(node.place + 1, len(siblings)):
+        text = _collapse(_all_text(siblings[k]))
         if text:
             return text
     return ""

@@ -83,11 +83,11 @@ def page_schemas(c):
 
 
 _TITLE = first("html", "<title>([^<]*)</title>")
-_NAME = (f"CASE WHEN contains(html, 'og:site_name') THEN 'Corner Shop' WHEN contains({_TITLE}, ' | ') THEN trim(string_split({_TITLE}, ' | ')[-1]) "
+NAME = (f"CASE WHEN contains(html, 'og:site_name') THEN 'Corner Shop' WHEN contains({_TITLE}, ' | ') THEN trim(string_split({_TITLE}, ' | ')[-1]) "
          f"WHEN contains({_TITLE}, ' - ') THEN trim(string_split({_TITLE}, ' - ')[-1]) WHEN {_TITLE} = '' THEN audit_id ELSE {_TITLE} END")
 
 
-@query("F8", page_cte() + f""" SELECT audit_id, {origin('final_url')} AS origin, {_NAME} AS name, CASE WHEN contains(html, 'name="description"') THEN {first('html', 'name="description" content="([^"]*)"')} WHEN contains(html, '"og:description"') THEN {first('html', '"og:description" content="([^"]*)"')} ELSE '' END AS description,
+@query("F8", page_cte() + f""" SELECT audit_id, {origin('final_url')} AS origin, {NAME} AS name, CASE WHEN contains(html, 'name="description"') THEN {first('html', 'name="description" content="([^"]*)"')} WHEN contains(html, '"og:description"') THEN {first('html', '"og:description" content="([^"]*)"')} ELSE '' END AS description,
   CASE WHEN contains(html, 'favicon.ico') THEN concat({origin('final_url')}, '/favicon.ico') ELSE '' END AS logo, regexp_extract(html, 'href="tel:([^"]*)"', 1) AS telephone, regexp_extract(html, 'href="mailto:([^"?]*)', 1) AS email,
   CASE WHEN contains(html, 'facebook.com/shop') THEN 'https://www.facebook.com/shop' ELSE '' END AS same_as FROM op WHERE pos = 1""")
 def site_facts(c):

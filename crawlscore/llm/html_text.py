@@ -7,7 +7,8 @@ HTML blocks end the drawing, as in browsers. Of drawings the text elements and e
 give text, not titles, descriptions, definitions and metadata (copies by use are not followed); of formulas
 all but annotations. What is left is laid out: white space collapses, blocks start new
 lines, paragraphs and the like keep a blank line, list items get their mark and indent, preformatted text
-stays, and the cells of a table stand in columns of equal width.
+stays, and the cells of a table stand in columns of equal width. Buttons and fields are boxes of their own, so what is
+beside them is another word; soft hyphens, which browsers show only where they break a word, are left out.
 
 The tree is walked as it is built, with an explicit stack, so depth is not limited. Neither parser nor
 layout looks at other pages: Spark deals out the pages, and a task holds one at a time.
@@ -42,6 +43,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas "
                    "object rp".split())
+#: Boxes within a line.
+CONTROLS = frozenset("button textarea select".split())
+SOFT_HYPHEN = "\u00ad"
 #: Elements of drawings and formulas that are not shown themselves.
 UNDRAWN = {
     "svg": frozenset("title desc defs metadata style script symbol clippath mask pattern marker filter lineargradient "
@@ -258,6 +262,8 @@ class Page:
         if tag in BLOCKS:
             nested_list = tag in ("ul", "ol", "menu") and self.count.get("li", 0)
             self.flows[-1].end_line(1 if tag in SPACED and not nested_list else 0)
+        elif tag in CONTROLS:
+            self.flows[-1].apart()
         if tag == "ol":
             node.count = _number(attributes.get("start"), 1)
         elif tag == "li":
@@ -341,6 +347,8 @@ class Page:
         if tag in BLOCKS:
             nested_list = tag in ("ul", "ol", "menu") and self.count.get("li", 0)
             self.flows[-1].end_line(1 if tag in SPACED and not nested_list else 0)
+        elif tag in CONTROLS:
+            self.flows[-1].apart()
 
     def _close(self, tags: frozenset[str], bounds: frozenset[str]) -> None:
         """Pop up to the outermost of `tags` that stands before a bound."""
@@ -416,9 +424,11 @@ class Page:
         elif tag == "hr":
             flow.end_line(1)
         elif tag == "img" and attributes.get("alt") and "hidden" not in attributes:
-            flow.text(attributes["alt"])
+            flow.text(attributes["alt"].replace(SOFT_HYPHEN, ""))
         elif tag == "input" and attributes.get("type", "").lower() in ("submit", "button", "reset") and "hidden" not in attributes:
-            flow.text(attributes.get("value", ""))
+            flow.apart()
+            flow.text(attributes.get("value", "").replace(SOFT_HYPHEN, ""))
+            flow.apart()
 
     def end(self, tag: str) -> None:
         if self.stack[-1].space:
@@ -460,6 +470,8 @@ class Page:
             return
         if "&" in text and not literal:
             text = html.unescape(text)
+        if SOFT_HYPHEN in text:
+            text = text.replace(SOFT_HYPHEN, "")
         if node.pre:
             flow = self.flows[-1]
             lines = text.replace("\r\n", "\n").split("\n")

@@ -19,14 +19,19 @@ REPORT_DDL = (
     "audit_id string, health_score int, health_band string, categories array<struct<category:"
     "string,score:int,band:string,checks_run:bigint,checks_skipped:bigint,note:string>>, results "
     "array<struct<check_id:string,status:string,score:double,note:string,findings:array<struct<finding_ord:int,"
-    "code:string,severity:string,impact:string,effort:string,affected:bigint,message:string>>>>, snippets array<struct<check_id:string,title:string,code:string,note:string>>"
+    "code:string,severity:string,impact:string,effort:string,affected:bigint,message:string>>>>, snippets array<struct<check_id:string,title:string,code:string,note:string>>, "
+    "elements array<struct<check_id:string,code:string,page:string,selector:string,match_tag:string,match_attr:string,"
+    "match_value:string,match_text:string,label:string>>"
 )
+_ELEMENTS = REPORT_DDL[REPORT_DDL.index(", elements ") + len(", elements "):]
 FINDING_BUCKETS = 64
 
 
-def reports(results: DataFrame, category_scores: DataFrame, health: DataFrame, snippets: DataFrame | None = None) -> DataFrame:
+def reports(results: DataFrame, category_scores: DataFrame, health: DataFrame, snippets: DataFrame | None = None,
+            shown: DataFrame | None = None) -> DataFrame:
     """One nested document per audit. The lists hold the categories, the checks of the catalogue and
-    what these found, and the `snippets` for them, so their length is fixed, whatever the size of the site."""
+    what these found, the `snippets` for them, and the first elements of each (`shown`, findings with `shots`), so
+    their length is bounded by the catalogue, whatever the size of the site."""
     checks = results.groupBy("audit_id").agg(F.expr(
         "transform(array_sort(collect_list(struct(check_ord, check_id, status, score, note, findings))), "
         "r -> struct(r.check_id AS check_id, r.status AS status, r.score AS score, r.note AS note, "
@@ -44,7 +49,15 @@ def reports(results: DataFrame, category_scores: DataFrame, health: DataFrame, s
         whole = whole.join(snippets.groupBy("audit_id").agg(F.expr(
             "transform(array_sort(collect_list(struct(check_id, snippet_ord, title, code, note))), "
             "s -> struct(s.check_id AS check_id, s.title AS title, s.code AS code, s.note AS note))").alias("snippets")), "audit_id", "left")
-    return whole.select("audit_id", "health_score", "health_band", "categories", "results", "snippets")
+    if shown is None:
+        whole = whole.withColumn("elements", F.lit(None).cast(_ELEMENTS))
+    else:
+        whole = whole.join(shown.where("size(shots) > 0").groupBy("audit_id").agg(F.expr(
+            "flatten(transform(array_sort(collect_list(struct(check_ord, finding_ord, check_id, code, shots))), f -> transform(f.shots, "
+            "s -> struct(f.check_id AS check_id, f.code AS code, s.page AS page, s.selector AS selector, s.match_tag AS match_tag, "
+            "s.match_attr AS match_attr, s.match_value AS match_value, s.match_text AS match_text, s.label AS label))))"
+        ).alias("elements")), "audit_id", "left")
+    return whole.select("audit_id", "health_score", "health_band", "categories", "results", "snippets", "elements")
 
 
 def write_reports(reports_df: DataFrame, path: str, day: str, format: str = "json") -> None:
@@ -105,7 +118,7 @@ def parse_reports(raw: DataFrame, column: str) -> DataFrame:
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = raw.select(parsed.alias("r")).where(
         "r._corrupt_record IS NULL AND r.audit_id IS NOT NULL")
-    return rows.select("r.audit_id", "r.health_score", "r.health_band", "r.categories", "r.results", "r.snippets")
+    return rows.select("r.audit_id", "r.health_score", "r.health_band", "r.categories", "r.results", "r.snippets", "r.elements")
 
 
 def leads_export(leads: DataFrame, checkups: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from crawlscore import fixed_values as fv
 from crawlscore.functions import robots
 from crawlscore.operators import ranking, robots_access
-from crawlscore.plans import audit, evidence
+from crawlscore.plans import audit, element_evidence, evidence
 from crawlscore.session import shared_folder
 from crawlscore.sources import derived as dv
 from crawlscore.sources import pages as pg
@@ -286,12 +286,15 @@ def report_documents(c):
     categories = scoring.category_scores(c.results)
     health = scoring.health_scores(categories)
     folder = f"{shared_folder(c.spark)}/reports-{uuid.uuid4().hex}"
-    fixes = evidence.snippets(audit.findings(c.results), c.inputs)
-    sinks.write_reports(sinks.reports(c.results, categories, health, fixes), folder, AS_OF[:10])
+    found = audit.findings(c.results)
+    fixes = evidence.snippets(found, c.inputs)
+    shown = element_evidence.with_shots(found, element_evidence.finding_elements(c.inputs, found), 3)
+    sinks.write_reports(sinks.reports(c.results, categories, health, fixes, shown), folder, AS_OF[:10])
     stored = sinks.read_reports(c.spark, folder)
     return stored.selectExpr(
         "audit_id", "health_score", "health_band", "size(categories) AS categories",
-        "size(results) AS results", "coalesce(size(snippets), 0) AS snippets", "aggregate(results, 0L, (n, r) -> n + size(r.findings)) AS findings")
+        "size(results) AS results", "coalesce(size(snippets), 0) AS snippets", "coalesce(size(elements), 0) AS elements",
+        "aggregate(results, 0L, (n, r) -> n + size(r.findings)) AS findings")
 
 
 @query("A22", dv.with_clause("finding_rows") + """ SELECT audit_id, count(*) AS findings, max(finding_ord) AS newest FROM finding_rows

@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from crawlscore.operators import scoring
 from crawlscore.plans import audit
 from crawlscore.plans import element_evidence as ee
 from crawlscore.sources import pages as pg
+from crawlscore.sources import sinks
 
 SCHEMA = ("audit_id string, page_key struct<depth:int,length:int,id:bigint>, url string, final_url string, status_code int, "
           "headers map<string,string>, text string")
@@ -98,3 +100,16 @@ def test_real_checks_agree_on_sites_and_pages(inputs):
     affected = {(r.audit_id, r.check_id, r.code): r.affected for r in findings.where("severity <> 'pass'").collect()}
     pages = {(r.audit_id, r.check_id, r.code): r.pages for r in rows.collect()}
     assert pages == {k: n for k, n in affected.items()}
+
+
+def test_reports_hold_the_first_elements(spark, inputs, tmp_path):
+    checks = ["seo.single_h1", "accessibility.image_alt"]
+    results = audit.check_results(inputs, checks)
+    findings = audit.findings(results)
+    shown = ee.with_shots(findings, ee.finding_elements(inputs, findings, checks), 1)
+    categories = scoring.category_scores(results)
+    path = str(tmp_path / "reports")
+    sinks.write_reports(sinks.reports(results, categories, scoring.health_scores(categories), shown=shown), path, "2026-01-01")
+    got = {r.audit_id: [(e.check_id, e.code, e.page, e.label) for e in r.elements or []] for r in sinks.read_reports(spark, path).collect()}
+    assert got == {"a": [("accessibility.image_alt", "missing", "https://a.test/", "<img>"),
+                         ("seo.single_h1", "several", "https://a.test/", '<h1> "Bread"')], "b": []}

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from crawlscore import fixed_values as fv
 from crawlscore.operators.checks.features import FEATURES, layered
 from crawlscore.sources import pages as pg
+from crawlscore.streaming.keyed import bucket
 
 
 def page_features(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -48,7 +49,8 @@ def decided_requests(requests: DataFrame, audits: DataFrame, hours: int = fv.REU
     `requests` has id, url, requested_at; `audits`, the finished ones, url and created_at, from which the
     reuse time counts (audits still running are another rule). A request is decided when it arrives, by its own time
     and all audits that have arrived. State: the times an address is covered, as (first, last) audit of each run
-    of audits no more than the reuse time apart; those that the watermark has passed are forgotten.
+    of audits no more than the reuse time apart; those that the watermark has passed are forgotten. Addresses are
+    dealt to buckets, and those of a bucket handled together as columns.
     """
     reuse = hours * 3600 * 1_000_000
     events = requests.select("url", "id", F.col("requested_at").alias("at"), F.lit(False).alias("finished")).unionByName(
@@ -56,43 +58,64 @@ def decided_requests(requests: DataFrame, audits: DataFrame, hours: int = fv.REU
                       F.lit(True).alias("finished")))
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        passed = state.getCurrentWatermarkMs() * 1000
-        spans = list(zip(*state.get)) if state.exists else []
+        mark = state.getCurrentWatermarkMs()
+        spans = pd.DataFrame(dict(zip(("url", "first", "last"), state.get if state.exists else ([], [], []))))
         asked: list[pd.DataFrame] = []
         if not state.hasTimedOut:
             for rows in frames:  # one bounded batch after another; all audits count before the first decision
                 done = rows["finished"]
-                spans = merged_spans([*spans, *((t, t) for t in rows.loc[done, "us"].tolist())], reuse)
+                if done.any():
+                    new = pd.DataFrame({"url": rows["url"][done], "first": rows["us"][done], "last": rows["us"][done]})
+                    spans = joined_spans(new if spans.empty else pd.concat([spans, new]), reuse)
                 if not done.all():
-                    asked.append(rows.loc[~done, ["id", "us"]])
-        spans_kept = [x for x in spans if x[1] + reuse >= passed]
-        if spans_kept:
-            state.update(([x[0] for x in spans_kept], [x[1] for x in spans_kept]))
-            state.setTimeoutTimestamp(max((spans_kept[-1][1] + reuse) // 1000, state.getCurrentWatermarkMs()) + 1)
+                    asked.append(rows.loc[~done, ["id", "url", "us"]])
+        kept = spans[spans["last"] + reuse >= mark * 1000]
+        if len(kept):
+            state.update((kept["url"].tolist(), kept["first"].tolist(), kept["last"].tolist()))
+            state.setTimeoutTimestamp(max((int(kept["last"].min()) + reuse) // 1000, mark) + 1)
         elif state.exists:
             state.remove()
-        begins = np.array([x[0] for x in spans], np.int64)
-        ends = np.array([x[1] + reuse for x in spans], np.int64)
         for rows in asked:
-            at = rows["us"].to_numpy()
-            span = np.searchsorted(begins, at, "right") - 1  # the last that begins before; spans are sorted and apart
-            refused = (span >= 0) & (at <= ends[span]) if len(spans) else np.zeros(len(at), dtype=bool)
-            yield pd.DataFrame({"id": rows["id"].astype("int64"), "url": key[0], "accepted": ~refused})
+            yield pd.DataFrame({"id": rows["id"].astype("int64"), "url": rows["url"], "accepted": ~covered(rows, spans, reuse)})
 
-    return events.withWatermark("at", late).withColumn("us", F.unix_micros("at")).groupBy("url").applyInPandasWithState(
-        run, "id bigint, url string, accepted boolean", "first array<bigint>, last array<bigint>", "append",
+    return events.withWatermark("at", late).withColumn("us", F.unix_micros("at")).withColumn(
+        "bucket", bucket("url")).groupBy("bucket").applyInPandasWithState(
+        run, "id bigint, url string, accepted boolean", "url array<string>, first array<bigint>, last array<bigint>", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
 def merged_spans(spans: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
     """Sorted (first, last) spans; those no more than `reach` apart become one."""
-    out: list[tuple[int, int]] = []
-    for first, last in sorted(spans):
-        if out and first - out[-1][1] <= reach:
-            out[-1] = (out[-1][0], max(out[-1][1], last))
-        else:
-            out.append((first, last))
-    return out
+    joined = joined_spans(pd.DataFrame(spans, columns=["first", "last"]).assign(url=""), reach)
+    return list(zip(joined["first"].tolist(), joined["last"].tolist()))
+
+
+def joined_spans(spans: pd.DataFrame, reach: int) -> pd.DataFrame:
+    """Sorted (first, last) spans of each url; those of a url no more than `reach` apart become one."""
+    spans = spans.astype({"first": "int64", "last": "int64"})
+    address, _ = pd.factorize(spans["url"], use_na_sentinel=False)
+    order = np.lexsort((spans["last"].to_numpy(), spans["first"].to_numpy(), address))
+    spans, address = spans.iloc[order], address[order]
+    ends = spans["last"].groupby(address).cummax().to_numpy()
+    begins = np.ones(len(spans), dtype=bool)
+    begins[1:] = (address[1:] != address[:-1]) | (spans["first"].to_numpy()[1:] - ends[:-1] > reach)
+    closes = np.append(begins[1:], True)[:len(spans)]
+    return pd.DataFrame({"url": spans["url"].to_numpy()[begins], "first": spans["first"].to_numpy()[begins], "last": ends[closes]})
+
+
+def covered(rows: pd.DataFrame, spans: pd.DataFrame, reach: int) -> np.ndarray:
+    """Which rows (url, us) lie in a span of their url, or no more than `reach` after it."""
+    address, _ = pd.factorize(pd.concat([spans["url"], rows["url"]]), use_na_sentinel=False)
+    at = np.concatenate([spans["first"].to_numpy(np.int64), rows["us"].to_numpy(np.int64)])
+    asks = np.arange(len(at)) >= len(spans)
+    order = np.lexsort((asks, at, address))  # a span comes before the requests of its first moment
+    before = np.maximum.accumulate(np.where(asks[order], -1, np.arange(len(at))))  # place of the last span up to here
+    span = np.where(before >= 0, order[before], -1)
+    until = np.append(spans["last"].to_numpy(np.int64) + reach, 0)  # the last entry stands for no span
+    hit = (span >= 0) & (address[span] == address[order]) & (at[order] <= until[span])
+    out = np.empty(len(at), dtype=bool)
+    out[order] = hit
+    return out[len(spans):]
 
 
 def accepted_requests(requests: DataFrame, audits: DataFrame, hours: int = fv.REUSE_HOURS,

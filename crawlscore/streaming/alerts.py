@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from crawlscore import fixed_values as fv
 from crawlscore.operators.checks.features import FEATURES, layered
 from crawlscore.sources import pages as pg
-from crawlscore.streaming.keyed import bucket
+from crawlscore.streaming.keyed import bucket, with_rocksdb
 
 
 def page_features(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -29,10 +29,48 @@ def page_features(pages: DataFrame, names: list[str] | None = None) -> DataFrame
 
 def start_rates(starts: DataFrame, window: str = "1 hour", slide: str = "5 minutes",
                 late: str = "10 minutes") -> DataFrame:
-    """Starts per visitor in sliding windows."""
-    return starts.withWatermark("created_at", late).groupBy(
-        F.window("created_at", window, slide), "ip_hash").agg(F.count("*").alias("starts")).select(
-        F.col("window.start").alias("window_start"), "ip_hash", "starts")
+    """Starts per visitor in sliding windows.
+
+    In update mode a changed block emits all its windows, also those whose count is as before.
+    """
+    return block_rates(rate_blocks(starts, window, slide, late), window, slide)
+
+
+def _microseconds(text: str) -> int:
+    return int(pd.Timedelta(text) // pd.Timedelta(1, "us"))
+
+
+def _slots(window: str, slide: str) -> list[str]:
+    """A column for each window of a block: as many windows, one `slide` apart, as a start lies in."""
+    width, step = _microseconds(window), _microseconds(slide)
+    return [f"starts_{k}" for k in range(-(-width // step))]
+
+
+def rate_blocks(starts: DataFrame, window: str = "1 hour", slide: str = "5 minutes",
+                late: str = "10 minutes") -> DataFrame:
+    """Starts per visitor in blocks of successive windows, with one count for each window of the block.
+
+    A start lies in many windows, but in two blocks at most, so the shuffle and the state hold two rows a start and not
+    one for each window. The state of a block ends when the watermark has passed all its windows: a window takes late rows
+    until then, never shorter than by itself. State is kept in RocksDB, outside the executors' heap.
+    """
+    slots, width, step = _slots(window, slide), _microseconds(window), _microseconds(slide)
+    block = len(slots) * step
+    rows = with_rocksdb(starts).withWatermark("created_at", late).withColumn(
+        "block", F.window("created_at", f"{2 * block} microseconds", f"{block} microseconds"))
+    rows = rows.select("block", "ip_hash", (F.unix_micros("created_at") - F.unix_micros("block.start")).alias("at"))
+    return rows.groupBy("block", "ip_hash").agg(*[
+        F.sum(F.col("at").between(k * step, k * step + width - 1).cast("long")).alias(slot) for k, slot in enumerate(slots)
+    ]).select(F.col("block.start").alias("block_start"), "ip_hash", *slots)
+
+
+def block_rates(blocks: DataFrame, window: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
+    """The windows of blocks that hold a start."""
+    slots, step = _slots(window, slide), _microseconds(slide)
+    pairs = [c for k, slot in enumerate(slots) for c in (F.lit(k * step).cast("long"), F.col(slot))]
+    rows = blocks.select("block_start", "ip_hash", F.stack(F.lit(len(slots)), *pairs).alias("later", "starts"))
+    return rows.where("starts > 0").select(
+        F.timestamp_micros(F.unix_micros("block_start") + F.col("later")).alias("window_start"), "ip_hash", "starts")
 
 
 def daily_mails(mails: DataFrame, late: str = "1 hour") -> DataFrame:

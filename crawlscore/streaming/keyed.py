@@ -31,7 +31,7 @@ def bucket(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _with_rocksdb(df: DataFrame) -> DataFrame:
+def with_rocksdb(df: DataFrame) -> DataFrame:
     """Processors with several states need this store; a restarted stream keeps the one it began with."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return df
@@ -124,7 +124,7 @@ def stuck_audits(events: DataFrame, seconds: int = fv.AUDIT_TIMEOUT_SECONDS + fv
     `events` has id, status, at. An end that comes before the watermark passes the timer, in whatever order, means no
     alert; the state of either kind of audit ends with the timer.
     """
-    rows = _with_rocksdb(events).withWatermark("at", late).select(
+    rows = with_rocksdb(events).withWatermark("at", late).select(
         bucket("id").alias("bucket"), "id", "at", F.unix_micros("at").alias("us"),
         F.coalesce(F.col("status").isin("done", "failed"), F.lit(False)).alias("ended"))
     return rows.groupBy("bucket").transformWithStateInPandas(
@@ -196,7 +196,7 @@ def score_drops(audits: DataFrame, drop: int = fv.ALERT_ON_DROP, late: str = "1
     `audits` has id, url, health_score, created_at. State of an address: the audits that the watermark has not passed, and
     the last score before them, which is forgotten after `forget_days` without an audit.
     """
-    rows = _with_rocksdb(audits).withWatermark("created_at", late).select(
+    rows = with_rocksdb(audits).withWatermark("created_at", late).select(
         bucket("url").alias("bucket"), "id", "url", "health_score", "created_at", F.unix_micros("created_at").alias("us"))
     return rows.groupBy("bucket").transformWithStateInPandas(
         ScoreDrops(drop, forget_days * 86_400_000), "id bigint, url string, delta int", "append", "eventTime")

@@ -104,9 +104,11 @@ def features(c):
 @query("K2", CHECKUPS + """ SELECT (epoch_us(created_at) // 300000000 - k) * 300000000 AS window_us, ip_hash, count(*) AS starts FROM checkups, range(12) AS r(k) GROUP BY 1, 2""")
 def rates(c):
     rows = c.derived("checkups").select(F.col("created_at").cast("timestamp"), "ip_hash")
-    emitted = _drain(alerts.start_rates(_stream(rows)), "update")
-    newest = emitted.groupBy("window_start", "ip_hash").agg(F.max("starts").alias("starts"))
-    return newest.select(F.unix_micros("window_start").alias("window_us"), "ip_hash", "starts")
+    # the two halves of `start_rates`: counts of a block only grow, so its newest are the largest, and are unfolded once
+    emitted = _drain(alerts.rate_blocks(_stream(rows)), "update")
+    slots = [n for n in emitted.columns if n.startswith("starts_")]
+    newest = emitted.groupBy("block_start", "ip_hash").agg(*[F.max(n).alias(n) for n in slots])
+    return alerts.block_rates(newest).select(F.unix_micros("window_start").alias("window_us"), "ip_hash", "starts")
 
 
 # every eleventh mail lands two of four spans after its own; a day is closed one hour after its end
